@@ -133,11 +133,11 @@ def train(labelled: DataFrame) -> Model:
         sums: dict[str, np.ndarray] = {}
         for batch in bounded_batches(batches, "text", most_rows=TOGETHER):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            table, found, _ = counts(texts)
+            table, found, lettered = counts(texts)
             if not found:
                 continue
-            names = sorted(set(langs))
-            index = np.array([names.index(x) for x in langs])
+            names = sorted({x for x, has in zip(langs, lettered) if has})
+            index = np.array([names.index(x) if has else -1 for x, has in zip(langs, lettered)])
             by_lang = np.stack([table[index == k].sum(axis=0, dtype=np.float64) for k in range(len(names))])
             for name, row in zip(names, by_lang @ grams().vectors(found).astype(np.float64)):
                 sums[name] = sums.get(name, 0) + row

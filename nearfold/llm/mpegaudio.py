@@ -1,7 +1,7 @@
 """Media columns: MPEG audio streams.
 
 The parser reads any MPEG-1, 2 or 2.5 stream of layer I, II or III: it skips and reads ID3 tags, resynchronises on frame headers
-(a header counts only if the next one, or the end, stands where its length says), reads Xing, Info and VBRI tables,
+(out of step, a header counts only if the next one, or the end, stands where its length says), reads Xing, Info and VBRI tables,
 verifies each protected frame's CRC-16, and returns the exact duration (samples over rate) with the byte offset of every frame.
 
 The writer stores a payload losslessly: silent layer III frames (48 kHz, mono, protected) whose ancillary bytes are the payload, the
@@ -173,11 +173,11 @@ def parse(data: bytes) -> Stream:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         stream.tags.setdefault("title", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
-    lost, first = False, True
+    synced, first, resyncing = False, True, False
     while at < end:
         head = header(data[at : at + 4])
-        if head is not None and at + head.length <= end and (at + head.length == end or header(data[at + head.length : at + head.length + 4]) is not None):
-            lost = False
+        if head is not None and at + head.length <= end and (synced or at + head.length == end or header(data[at + head.length : at + head.length + 4]) is not None):
+            synced, resyncing = True, False
             frame = data[at : at + head.length]
             place = 4
             if head.protected:
@@ -197,8 +197,8 @@ def parse(data: bytes) -> Stream:
                 stream.parts.append(frame[place + head.side :])
             at += head.length
             continue
-        stream.resyncs += not lost
-        lost = True
+        stream.resyncs += not resyncing
+        synced, resyncing = False, True
         following = data.find(b"\xff", at + 1, end)
         following = end if following < 0 else following
         stream.skipped += following - at
