@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def bounded_batches(batches: Iterator[pa.RecordBatch], sized: str, most_bytes: i
     """Cut Arrow batches so that column ``sized`` holds about ``most_bytes`` in each; a longer row stands alone."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(sized))
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         start, held = 0, 0
         for row, length in enumerate(lengths):
             if row > start and (held + length > most_bytes or row - start >= most_rows):
@@ -88,7 +89,7 @@ def running_totals(df: DataFrame, group: Column | None, order: Sequence[Column],
             groups = batch.column(batch.schema.get_field_index("__g"))
             values = batch.column(batch.schema.get_field_index("__m")).to_numpy(zero_copy_only=False).astype(np.int64)
             fresh = np.ones(len(values), dtype=bool)
-            fresh[1:] = np.asarray(pa.compute.not_equal(groups[1:], groups[:-1]))
+            fresh[1:] = np.asarray(pc.not_equal(groups[1:], groups[:-1]))
             starts = np.flatnonzero(fresh)
             before = np.cumsum(values) - values
             spans = np.diff(np.append(starts, len(values)))
