@@ -110,10 +110,11 @@ def test_documents_with_odd_rows(spark):
         least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
     expected = sorted((str(d), plain_fingerprint(t), str(least[root[plain_fingerprint(t)]])) for d, t in rows)
     assert sorted((str(r["doc_id"]), int(np.int64(r["fp"]).view(np.uint64)), str(r["component_id"])) for r in found) == expected
-    kept = simhash.deduplicate(docs, width=3)
+    kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(None) == 2 and 50 not in ids and 6 in ids and 1 not in ids
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
     assert simhash.components(docs.limit(0)).count() == 0
 
 
@@ -123,3 +124,27 @@ def test_query(spark):
     texts = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()))
     assert {d: f for d, (f, _) in rows.items()} == {d: plain_fingerprint(t) for d, t in texts.items()}
     assert {d: c for d, (_, c) in rows.items()} == components(sorted(rows), lambda a, b: (rows[a][0] ^ rows[b][0]).bit_count() <= 2)
+
+
+def plain_similarity(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_documents_that_stay(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    texts = []
+    for _ in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 3)):
+            words = list(words)
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = {k for k, t in enumerate(texts) if not any(plain_similarity(t, texts[j]) >= 0.8 for j in range(k))}
+    for tile_rows in (16, 100_000):
+        assert {r["doc_id"] for r in simhash.deduplicate(docs, tile_rows=tile_rows).collect()} == expected
