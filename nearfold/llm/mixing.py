@@ -92,7 +92,7 @@ def plan(sizes: dict[str | None, int], pattern: Sequence[float], share: float, m
     caps = [most * sizes[s] for s in names]
     targets = water_fill(weights, caps, share * sum(sizes.values()))
     house = round(share * sum(sizes.values()) / block_words)
-    limits = [int(c // block_words) for c in caps]
+    limits = [round(c / block_words) for c in caps]
     ends = [house * k // n_shards for k in range(n_shards + 1)]
     grown = [sainte_lague(weights, limits, h) for h in ends]
     rows = []
