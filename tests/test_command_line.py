@@ -1,0 +1,25 @@
+import json
+
+import pytest
+
+from nearfold.__main__ import main
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("1\t0.5\t0.5\n2\t0.6\t0.4\n")
+    (tmp_path / "t.txt").write_text("".join(f"{i}\t{(i * 37 % 100) / 100}\t{(i * 61 % 100) / 100}\n" for i in range(100)))
+    where = [f"query={tmp_path}/q.txt", f"out={tmp_path}/out"]
+    main(["knn", *where, f"points={tmp_path}/t.txt", "K=3", "n=10", "seed=MBR"], spark)
+    lines = [line.split("\t") for line in spark.read.text(f"{tmp_path}/out/neighbors").toPandas()["value"]]
+    true = sorted((((x - 0.5) ** 2 + (y - 0.5) ** 2) ** 0.5 + ((x - 0.6) ** 2 + (y - 0.4) ** 2) ** 0.5, i) for i, x, y in ((i, (i * 37 % 100) / 100, (i * 61 % 100) / 100) for i in range(100)))
+    assert [int(i) for i, _ in lines] == [i for _, i in true[:3]]
+    assert json.loads(next((tmp_path / "out" / "metrics").glob("*.json")).read_text())["cells_points"] == 100
+    main(["summary", *where, "limit=5"], spark)
+    assert len(spark.read.text(f"{tmp_path}/out/summary.txt").first()[0].split("\t")) == 7
+    main(["tree", f"points={tmp_path}/t.txt", f"out={tmp_path}/out", "samplerate=100", "capacity=20", "type=2"], spark)
+    assert spark.read.text(f"{tmp_path}/out/shape").first()[0].startswith("1")
+    for bad in (["knn", *where, f"points={tmp_path}/t.txt", "colour=red"], ["tree", f"points={tmp_path}/t.txt", f"out={tmp_path}/o", "type=4"], ["knn", *where, f"points={tmp_path}/t.txt", "heuristics=perhaps"]):
+        with pytest.raises(ValueError):
+            main(bad, spark)
+    with pytest.raises(SystemExit):
+        main(["what"], spark)
