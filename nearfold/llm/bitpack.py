@@ -183,6 +183,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) ->
         if writer is not None:
             total = writer.finish()
             out.close()
+            if store.get_file_info(path).type != pafs.FileType.NotFound:  # of an earlier attempt, with the same bytes
+                store.delete_file(path)
             store.move(temporary, path)
             columns = [[part], [f"{folder}/part-{part:05d}.tok"], [len(writer.doc_ids)], [total]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_ids"])
