@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import keep
+from nearfold.llm.common import keep, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: After the first "://": the host, then the path.
@@ -111,7 +111,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     )
     edges = keep(host_edges(split))
     verdicts = host_verdicts(hosts.where("host <> ''"), edges, threshold, **options).select("host", F.col("verdict").alias("by_host"))
-    joined = judged.join(verdicts, "host", "left")
+    joined = judged.join(small(keep(verdicts)), "host", "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
 
 
