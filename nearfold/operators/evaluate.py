@@ -92,7 +92,8 @@ def sweep_steps(query: DataFrame) -> DataFrame:
 
 def sum_dx(points: DataFrame, query: DataFrame) -> DataFrame:
     """points with sumdx, the sum of |qx - x| over the query set, in closed form: a lower bound of the distance sum."""
-    steps = require_small(sweep_steps(query), "the query set")
+    require_small(query, "the query set")
+    steps = F.broadcast(sweep_steps(query))  # a row for each query point at most, and one more
     joined = points.join(steps, (F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi")))
     value = F.col("x") * (2 * F.col("r") - F.col("n")) + F.col("total") - 2 * F.col("p")
     return joined.withColumn("sumdx", value).select(*points.columns, "sumdx")

@@ -10,12 +10,15 @@ BROADCAST_ROWS = 500_000
 
 
 def small(side: DataFrame) -> DataFrame:
-    """Mark for broadcast if the counted size allows it."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    """Mark for broadcast if the counted size allows it; a frame is counted once."""
+    if not hasattr(side, "_nearfold_small"):
+        side._nearfold_small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(side) if side._nearfold_small else side
 
 
 def require_small(side: DataFrame, what: str) -> DataFrame:
-    """Mark for broadcast; ValueError beyond the bound, for there is no other way to use it."""
-    if side.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    """Mark for broadcast; ValueError beyond the bound, for there is no other way to use it. A frame is counted once."""
+    found = small(side)
+    if not side._nearfold_small:
         raise ValueError(f"{what} has more than {BROADCAST_ROWS} rows")
-    return F.broadcast(side)
+    return found

@@ -19,8 +19,6 @@ from nearfold.operators.tables import small
 from nearfold.sources.points import sample, valid
 
 PARTITIONINGS, METHODS, SEEDS = ("gd", "qt"), ("bf", "ps"), ("mbr", "centroid")
-#: Up to so many point pairs a single pass over all of them costs less than planning.
-PAIRS_AT_ONCE = 2_000_000
 
 
 @dataclass
@@ -56,6 +54,7 @@ class Query:
         if not 1 <= self.sample_rate <= 100:
             raise ValueError("sample_rate is a percentage from 1 to 100")
         self.points = valid(self.points.select("id", "x", "y"))
+        self.query = self.query.cache()  # it is small, which is checked where it is broadcast
 
     def summary(self) -> Summary:
         return summarize(self.query, step=self.step, min_dist=self.min_dist, limit=self.limit, diff=self.diff)
@@ -91,13 +90,14 @@ class Query:
         placed, counted, leaves = self.partition()
         cells = counted.cache()  # a row for each cell that isn't empty
         seeded = self.seeds(cells, leaves, summary).select(*cells.columns).cache()
-        inside = placed.join(small(seeded.select("cell")), "cell", "left_semi")
+        chosen = seeded.select("cell")
+        inside = placed.join(small(chosen), "cell", "left_semi")
         first = evaluate.top_k(evaluate.sum_distances(inside, self.query), self.k).cache()
         self.dm = evaluate.kth_distance(first, self.k)
-        rest = cells.join(small(seeded.select("cell")), "cell", "left_anti")
+        rest = cells.join(small(chosen), "cell", "left_anti")
         # A point tied with the k-th can still win by its id, so bounds are compared with the next larger distance.
         self.dm = math.nextafter(self.dm, math.inf) * (1 + 1e-12) if not math.isinf(self.dm) else self.dm
-        survivors = prune.surviving_cells(rest, self.query, summary, self.dm, self.heuristics)
+        survivors = prune.surviving_cells(rest, self.query, summary, self.dm, self.heuristics).cache()
         others = self.candidates(placed, summary).join(small(survivors.select("cell")), "cell", "left_semi")
         second = evaluate.top_k(evaluate.sum_distances(others, self.query), self.k)
         answer = evaluate.merge(first, second, self.k)
