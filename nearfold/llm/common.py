@@ -6,6 +6,8 @@ that ``spark.checkpoint.dir`` names) or through files below ``shared_dir``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -52,6 +54,13 @@ def small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker have freed but its allocators still hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded_batches(batches: Iterator[pa.RecordBatch], sized: str, most_bytes: int = 4 << 20, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that column ``sized`` holds about ``most_bytes`` in each; a longer row stands alone."""
     for batch in batches:

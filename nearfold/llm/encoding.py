@@ -49,7 +49,8 @@ TOGETHER = 500
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
+        self.most = pieces or MOST_PIECES
         about = json.loads(Path(path).read_text("utf-8"))
         split = about.get("pre_tokenizer") or {}
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,7 +118,7 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> list[str]:
         """Bring each piece, with the space before it, into the young generation; those too long to stay there."""
-        if len(self.young) > MOST_PIECES:
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         new = pieces - young.keys()
@@ -138,6 +139,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(path)
+def encoder(path: str, pieces: int | None = None) -> Encoder:
+    """One encoder for each worker process, file and size of cache."""
+    return Encoder(path, pieces)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import bounded_batches
+from nearfold.llm.common import bounded_batches, release_memory
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 29
 MOST_LANGUAGES = 2000
@@ -141,6 +141,7 @@ def train(labelled: DataFrame) -> Model:
             by_lang = np.stack([table[index == k].sum(axis=0, dtype=np.float64) for k in range(len(names))])
             for name, row in zip(names, by_lang @ grams().vectors(found).astype(np.float64)):
                 sums[name] = sums.get(name, 0) + row
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
@@ -189,6 +190,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             best, score = predict(model, waiting)
             langs += best
             scores.append(score)
+        release_memory()
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.empty(0)})
 
     docs = docs.drop("lang_pred", "score")

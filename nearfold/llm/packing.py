@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import bounded_batches
+from nearfold.llm.common import bounded_batches, release_memory
 from nearfold.llm.encoding import encoder
 
 BLOCK_TOKENS = 1 << 20
@@ -65,14 +65,15 @@ def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int,
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, block_tokens: int = BLOCK_TOKENS, cache_pieces: int | None = None, most_bytes: int = 4 << 20) -> DataFrame:
     """One row for each piece, with its ids as little-endian unsigned 32-bit integers.
 
     sequence_id is the task's number times 2^32 plus a counter; offset is the piece's place in its sequence, gapless from 0.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, next_id = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        release_memory()
+        coder, next_id = encoder(tokenizer, cache_pieces), TaskContext.get().partitionId() << 32
         end = np.array([end_id], np.uint32).tobytes()
         doc_ids: list[int | None] = []
         ids: list[bytes] = []
@@ -82,8 +83,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             nonlocal next_id, held
             lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             pieces = assign(lengths, capacity)
-            for at in range(0, len(pieces), 4096):
-                part = pieces[at : at + 4096]
+            for at in range(0, len(pieces), 1024):
+                part = pieces[at : at + 1024]
                 columns = [
                     pa.array([doc_ids[d] for d, *_ in part], pa.int64()), *(pa.array([p[k] for p in part], pa.int64()) for k in (1, 2)),
                     pa.array([int(lengths[p[0]]) for p in part], pa.int64()), pa.array([next_id + p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64()),
@@ -95,7 +96,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             ids.clear()
             held = 0
 
-        for batch in bounded_batches(batches, "text"):
+        for batch in bounded_batches(batches, "text", most_bytes, 1024):
             for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                 doc_ids.append(doc_id)
                 ids.append(found + end)

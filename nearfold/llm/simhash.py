@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import bounded_batches, connected_components, keep, local_forest, small
+from nearfold.llm.common import bounded_batches, connected_components, keep, local_forest, release_memory, small
 
 TILE_ROWS = 65_536
 BLOCK = 512
@@ -233,6 +233,7 @@ def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int =
                         out.append(links if every else _nearest(links))
                         if not every and len(out) > 64:
                             out = [_nearest(pd.concat(out))]
+        release_memory()
         found = pd.concat(out) if out else pd.DataFrame({"rep": [], "other": [], "bits": [], "n": []})
         return (found if every else _nearest(found)).astype("int64")
 
