@@ -30,7 +30,7 @@ TILE_ROWS = 65_536
 BLOCK = 512
 #: Words of the fingerprints that deduplicate() compares, and the bits in which those of a pair at similarity 0.8 differ at most: mean 39, sd 6.
 WIDE, RADIUS, SPAN = 4, 56, 32
-FIELDS = tuple(f"f{k}" for k in range(WIDE))
+FIELDS, CONTENT = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1")
 #: The bits that are set in each byte value, as a 256 x 8 table.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -171,16 +171,24 @@ def similarity(a: str, b: str, width: int = 5) -> float:
     return both / (len(sets[0]) + len(sets[1]) - both)
 
 
+def content(text: str | None) -> bytes:
+    """128 bits that are equal for texts with the same lower-cased words in the same order."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, f0 .. f3) for rows with a doc_id."""
+    """(doc_id, c0, c1, f0 .. f3) for rows with a doc_id; c0 and c1 hold the ``content``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
-            found = np.array([wide_fingerprint(t, width) for t in batch.column(1).to_pylist()]).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, k].copy()) for k in range(WIDE)]], ["doc_id", *FIELDS])
+            texts = batch.column(1).to_pylist()
+            same = np.frombuffer(b"".join(map(content, texts)), np.int64).reshape(-1, 2)
+            found = np.array([wide_fingerprint(t, width) for t in texts]).reshape(-1, WIDE).view(np.int64)
+            columns = [pa.array(x[:, k].copy()) for x in (same, found) for k in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *CONTENT, *FIELDS])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return rows.mapInArrow(each, "doc_id long, " + ", ".join(f"{f} long" for f in FIELDS))
+    return rows.mapInArrow(each, "doc_id long, " + ", ".join(f"{f} long" for f in (*CONTENT, *FIELDS)))
 
 
 def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -269,11 +277,11 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius:
 
     Similarity is Jaccard's, of word shingles of whole texts. Candidates are pairs of 256-bit fingerprints within ``radius`` bits (a
     pair at 0.8 differs by 39 on average, standard deviation 6). The nearest earlier one of each document is checked exactly; if that fails and there
-    are more, all of them are. Texts of equal fingerprints are copies. So each group keeps its first document, a group of copies costs one
+    are more, all of them are. Texts with the same words in the same order, letter case aside, are copies; equal fingerprints alone decide nothing. So each group keeps its first document, a group of copies costs one
     row, and no group's pairs are listed. The columns of docs come back unchanged; rows with a null doc_id stay, for nothing orders them.
     """
     marked = keep(wide_fingerprints(docs, width))
-    classes = keep(marked.groupBy(*FIELDS).agg(F.min("doc_id").alias("rep")))
+    classes = keep(marked.groupBy(*CONTENT, *FIELDS).agg(F.min("doc_id").alias("rep")))
     found = keep(earlier_links(classes.withColumn("asked", F.lit(True)), radius, False, tile_rows))
     best = F.min(F.struct("bits", "other"))
     nearest = keep(found.groupBy("rep").agg(best.alias("best"), F.sum("n").alias("n")).select("rep", F.col("best.other").alias("other"), "n"))
@@ -283,7 +291,7 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius:
         asked = classes.join(open_, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
         rest = earlier_links(asked, radius, True, tile_rows)
         gone = gone.unionByName(_similar(rest, docs, threshold, width)).distinct()
-    out = marked.join(classes, list(FIELDS)).join(gone.withColumn("out", F.lit(True)), "rep", "left").where("doc_id <> rep or out").select(F.col("doc_id").alias("__gone")).distinct()
+    out = marked.join(classes.select("rep", *CONTENT), list(CONTENT)).join(gone.withColumn("out", F.lit(True)), "rep", "left").where("doc_id <> rep or out").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(out, docs["doc_id"].cast("long") == out["__gone"], "left_anti")
 
 

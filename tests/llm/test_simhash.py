@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from nearfold.llm import simhash
 from nearfold.llm.common import connected_components
@@ -148,3 +149,20 @@ def test_documents_that_stay(spark):
     expected = {k for k, t in enumerate(texts) if not any(plain_similarity(t, texts[j]) >= 0.8 for j in range(k))}
     for tile_rows in (16, 100_000):
         assert {r["doc_id"] for r in simhash.deduplicate(docs, tile_rows=tile_rows).collect()} == expected
+
+
+def random_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def test_equal_fingerprints_alone_drop_nothing(spark, monkeypatch):
+    """Different texts whose fingerprints are equal in every bit stay; copies that differ in case and white space go."""
+    rng = random.Random(9)
+    run = ["-"] * 250
+    texts = [" ".join(random_words(rng, 200) + run) for _ in range(4)]
+    texts.append(texts[2].upper().replace(" ", "\n"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [0, 1, 2, 3]
+    alike = simhash.wide_fingerprints
+    monkeypatch.setattr(simhash, "wide_fingerprints", lambda docs, *a: alike(docs, *a).withColumns({f: F.lit(5).cast("long") for f in simhash.FIELDS}))
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [0, 1, 2, 3]
