@@ -30,7 +30,7 @@ TILE_ROWS = 65_536
 BLOCK = 512
 #: Words of the fingerprints that deduplicate() compares, and the bits in which those of a pair at similarity 0.8 differ at most: mean 39, sd 6.
 WIDE, RADIUS, SPAN = 4, 56, 32
-FIELDS, CONTENT = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1")
+FIELDS, CONTENT, LINK = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1"), ("rep", "other", "bits", "n")
 #: The bits that are set in each byte value, as a 256 x 8 table.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -194,8 +194,8 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
 def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(rep, other, bits, n): for each class the nearest one with a smaller rep within ``radius`` bits, by pair of tiles; n: how many there are.
 
-    every: instead, all such pairs whose later class is marked ``asked``. classes: rep, f0 .. f3, asked. Tiles are ranges of ``SPAN`` population counts, in slices of
-    bounded size; tiles whose ranges are more than the radius apart never meet, and neither do blocks within them.
+    every: instead, all such pairs whose later class is marked ``asked`` and whose roots differ. classes: rep, f0 .. f3, root, asked. Tiles are ranges of ``SPAN``
+    population counts, in slices of bounded size; tiles whose ranges are more than the radius apart never meet, and neither do blocks within them.
     """
     count = sum((F.bit_count(f) for f in FIELDS[1:]), F.bit_count(FIELDS[0]))
     tiled = classes.withColumn("pop", count.cast("int")).withColumn("span", F.floor(F.col("pop") / SPAN).cast("int"))
@@ -208,8 +208,9 @@ def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int =
         f"flatten(transform(sequence(greatest(span - {reach}, 0), least(span + {reach}, {spans - 1})),"
         " q -> transform(filter(sequence(0, get(per, q)), j -> j < get(per, q)), j -> q * 4294967296L + j)))"
     )
-    dealt = tiled.select("rep", *FIELDS, "asked", "pop", "tile", F.explode(partners).alias("other_tile")).select(
-        F.least("tile", "other_tile").alias("t0"), F.greatest("tile", "other_tile").alias("t1"), (F.col("tile") > F.col("other_tile")).alias("second"), "rep", *FIELDS, "asked", "pop"
+    columns = ("rep", *FIELDS, "root", "asked", "pop")
+    dealt = tiled.select(*columns, "tile", F.explode(partners).alias("other_tile")).select(
+        F.least("tile", "other_tile").alias("t0"), F.greatest("tile", "other_tile").alias("t1"), (F.col("tile") > F.col("other_tile")).alias("second"), *columns
     )
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,35 +220,43 @@ def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int =
         out: list[pd.DataFrame] = []
         if own or len(sides) == 2:
             a, b = sides[0], sides[0] if own else sides[1]
-            af, bf = (np.ascontiguousarray(x[list(FIELDS)].to_numpy().T).view(np.uint64) for x in (a, b))
-            for s in range(0, len(a), BLOCK):
-                low, high = a["pop"].iat[s], a["pop"].iat[min(s + BLOCK, len(a)) - 1]
-                for t in range(s if own else 0, len(b), BLOCK):
-                    if max(b["pop"].iat[t] - high, low - b["pop"].iat[min(t + BLOCK, len(b)) - 1]) > radius:
-                        continue
-                    bits = np.zeros((min(BLOCK, len(a) - s), min(BLOCK, len(b) - t)), dtype=np.uint16)
-                    for k in range(WIDE - 1):
-                        bits += np.bitwise_count(af[k, s : s + BLOCK, None] ^ bf[k, None, t : t + BLOCK])
-                    x, y = np.nonzero(bits <= radius)
-                    x, y = x + s, y + t
-                    total = sum(np.bitwise_count(af[k, x] ^ bf[k, y]).astype(np.int64) for k in range(WIDE))
-                    near = (total <= radius) & ((x < y) if own else True)
-                    x, y, total = x[near], y[near], total[near]
-                    if len(x):
-                        i, j = a["rep"].to_numpy()[x], b["rep"].to_numpy()[y]
-                        later = i > j
-                        asked = np.where(later, a["asked"].to_numpy()[x], b["asked"].to_numpy()[y])
-                        links = pd.DataFrame({"rep": np.maximum(i, j), "other": np.minimum(i, j), "bits": total, "n": 1})[asked]
-                        out.append(links if every else _nearest(links))
-                        if not every and len(out) > 64:
-                            out = [_nearest(pd.concat(out))]
+            if every:  # each pair from its later class
+                for x, y in [(a, b)] if own else [(a, b), (b, a)]:
+                    out += [p[(p["rep"] == p["x"]) & (p["root"] != p["other_root"])][list(LINK)] for p in _near_pairs(x[x["asked"]], y, radius, False)]
+            else:
+                for p in _near_pairs(a, b, radius, own):
+                    out.append(_nearest(p[list(LINK)]))
+                    if len(out) > 64:
+                        out = [_nearest(pd.concat(out))]
         release_memory()
-        found = pd.concat(out) if out else pd.DataFrame({"rep": [], "other": [], "bits": [], "n": []})
+        found = pd.concat(out) if out else pd.DataFrame({k: [] for k in LINK})
         return (found if every else _nearest(found)).astype("int64")
 
     return dealt.groupBy("t0", "t1").applyInPandas(match, "rep long, other long, bits long, n long")
 
 
+def _near_pairs(a: pd.DataFrame, b: pd.DataFrame, radius: int, own: bool) -> Iterator[pd.DataFrame]:
+    """Pairs within ``radius`` bits by block: rep, other, bits, n, x (the rep from a), root (of x), other_root. Both sides are in order of pop; own: a is b, each pair once."""
+    af, bf = (np.ascontiguousarray(x[list(FIELDS)].to_numpy().T).view(np.uint64) for x in (a, b))
+    (ar, aw), (br, bw) = ((x["rep"].to_numpy(), x["root"].to_numpy()) for x in (a, b))
+    for s in range(0, len(a), BLOCK):
+        low, high = a["pop"].iat[s], a["pop"].iat[min(s + BLOCK, len(a)) - 1]
+        for t in range(s if own else 0, len(b), BLOCK):
+            if max(b["pop"].iat[t] - high, low - b["pop"].iat[min(t + BLOCK, len(b)) - 1]) > radius:
+                continue
+            bits = np.zeros((min(BLOCK, len(a) - s), min(BLOCK, len(b) - t)), dtype=np.uint16)
+            for k in range(WIDE - 1):
+                bits += np.bitwise_count(af[k, s : s + BLOCK, None] ^ bf[k, None, t : t + BLOCK])
+            x, y = np.nonzero(bits <= radius)
+            x, y = x + s, y + t
+            total = sum(np.bitwise_count(af[k, x] ^ bf[k, y]).astype(np.int64) for k in range(WIDE))
+            near = (total <= radius) & ((x < y) if own else (ar[x] != br[y]))
+            x, y, total = x[near], y[near], total[near]
+            if len(x):
+                i, j = ar[x], br[y]
+                yield pd.DataFrame({"rep": np.maximum(i, j), "other": np.minimum(i, j), "bits": total, "n": 1, "x": i, "root": aw[x], "other_root": bw[y]})
+
+
 def _nearest(links: pd.DataFrame) -> pd.DataFrame:
     """For each rep the link with the fewest bits (the smallest other of equals), with the number of all of them."""
     ordered = links.sort_values(["rep", "bits", "other"])
@@ -256,8 +265,8 @@ def _nearest(links: pd.DataFrame) -> pd.DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """(rep) of the pairs (rep, other) whose whole texts have at least this similarity."""
-    pairs = keep(pairs.select("rep", "other"))
+    """Those of the pairs (rep, other) whose whole texts have at least this similarity."""
+    pairs = keep(pairs.select("rep", "other").distinct())
     ids = pairs.select(F.col("rep").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(small(keep(ids)), "doc_id", "left_semi")
     named = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # one text where an id repeats
@@ -265,33 +274,43 @@ def _similar(pairs: DataFrame, docs: DataFrame, threshold: float, width: int) ->
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
-            reps, a, b = (batch.column(k).to_pylist() for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, x, y in zip(reps, a, b) if similarity(x, y, width) >= threshold], pa.int64())], ["rep"])
+            a, b = (batch.column(k).to_pylist() for k in (2, 3))
+            passed = pa.array([similarity(x, y, width) >= threshold for x, y in zip(a, b)], pa.bool_())
+            yield batch.select([0, 1]).filter(passed)
+
+    both = pairs.join(mine, "rep").join(theirs, "other").select("rep", "other", "text", "other_text")
+    return both.mapInArrow(each, "rep long, other long")
+
 
-    both = pairs.join(mine, "rep").join(theirs, "other").select("rep", "text", "other_text")
-    return both.mapInArrow(each, "rep long").distinct()
+def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with ``root``, the least rep that verified links (rep, other) reach."""
+    forest = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    return keep(classes.drop("root").join(forest.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The rows of docs that stay: a document goes if one with a smaller doc_id has a similarity of ``threshold`` or more to it.
+    """The rows of docs that stay: of each group that links of a similarity of ``threshold`` or more connect, those with the least doc_id.
 
     Similarity is Jaccard's, of word shingles of whole texts. Candidates are pairs of 256-bit fingerprints within ``radius`` bits (a
-    pair at 0.8 differs by 39 on average, standard deviation 6). The nearest earlier one of each document is checked exactly; if that fails and there
-    are more, all of them are. Texts with the same words in the same order, letter case aside, are copies; equal fingerprints alone decide nothing. So each group keeps its first document, a group of copies costs one
-    row, and no group's pairs are listed. The columns of docs come back unchanged; rows with a null doc_id stay, for nothing orders them.
+    pair at 0.8 differs by 39 on average, standard deviation 6). The nearest earlier one of each document is checked exactly, and the links that hold
+    are joined up; then all other candidates in different groups are checked, so every verified candidate counts, but pairs within a group needn't
+    be listed. Texts with the same words in the same order, letter case aside, are copies, and a group of copies costs one
+    row; equal fingerprints alone decide nothing. The columns of docs come back unchanged; rows with a null doc_id stay, for nothing orders them.
     """
     marked = keep(wide_fingerprints(docs, width))
     classes = keep(marked.groupBy(*CONTENT, *FIELDS).agg(F.min("doc_id").alias("rep")))
-    found = keep(earlier_links(classes.withColumn("asked", F.lit(True)), radius, False, tile_rows))
+    found = keep(earlier_links(classes.withColumns({"root": F.col("rep"), "asked": F.lit(True)}), radius, False, tile_rows))
     best = F.min(F.struct("bits", "other"))
     nearest = keep(found.groupBy("rep").agg(best.alias("best"), F.sum("n").alias("n")).select("rep", F.col("best.other").alias("other"), "n"))
-    gone = keep(_similar(nearest, docs, threshold, width))
-    open_ = keep(nearest.where("n > 1").join(gone, "rep", "left_anti").select("rep").withColumn("asked", F.lit(True)))
+    linked = keep(_similar(nearest, docs, threshold, width))
+    rooted = _rooted(classes, linked)
+    open_ = keep(nearest.where("n > 1").select("rep", F.lit(True).alias("asked")))
     if open_.limit(1).count():
-        asked = classes.join(open_, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        rest = earlier_links(asked, radius, True, tile_rows)
-        gone = gone.unionByName(_similar(rest, docs, threshold, width)).distinct()
-    out = marked.join(classes.select("rep", *CONTENT), list(CONTENT)).join(gone.withColumn("out", F.lit(True)), "rep", "left").where("doc_id <> rep or out").select(F.col("doc_id").alias("__gone")).distinct()
+        asked = rooted.join(open_, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        more = keep(_similar(earlier_links(asked, radius, True, tile_rows), docs, threshold, width))
+        if more.limit(1).count():
+            rooted = _rooted(classes, linked.unionByName(more))
+    out = marked.join(rooted.select("root", *CONTENT), list(CONTENT)).where("doc_id <> root").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(out, docs["doc_id"].cast("long") == out["__gone"], "left_anti")
 
 

@@ -166,3 +166,21 @@ def test_equal_fingerprints_alone_drop_nothing(spark, monkeypatch):
     alike = simhash.wide_fingerprints
     monkeypatch.setattr(simhash, "wide_fingerprints", lambda docs, *a: alike(docs, *a).withColumns({f: F.lit(5).cast("long") for f in simhash.FIELDS}))
     assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [0, 1, 2, 3]
+
+
+def test_groups_keep_their_first_document(spark):
+    """Documents that only a later one links are one group; brute force over components."""
+    rng = random.Random(10)
+    texts, links = [], 0
+    for _ in range(12):
+        middle = random_words(rng, 100)
+        ends = [middle[9:] + random_words(rng, 1), random_words(rng, 1) + middle[:-9]]
+        group = [*ends, middle] if rng.random() < 0.7 else ends
+        links += len(group) == 3
+        texts += [" ".join(words) for words in group]
+        assert plain_similarity(texts[-1], texts[-2]) < 0.8 or len(group) == 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = components(range(len(texts)), lambda a, b: plain_similarity(texts[a], texts[b]) >= 0.8)
+    assert len(set(root.values())) == 24 - links and links > 3
+    for tile_rows in (8, 100_000):
+        assert {r["doc_id"] for r in simhash.deduplicate(docs, tile_rows=tile_rows).collect()} == set(root.values())
