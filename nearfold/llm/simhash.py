@@ -30,6 +30,8 @@ TILE_ROWS = 65_536
 BLOCK = 512
 #: Words of the fingerprints that deduplicate() compares, and the bits in which those of a pair at similarity 0.8 differ at most: mean 39, sd 6.
 WIDE, RADIUS, SPAN = 4, 56, 32
+#: Texts of so many distinct shingles at most are compared by an exact route too, for few shingles leave the bits of a fingerprint to chance.
+SHORT = 64
 FIELDS, CONTENT, LINK = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1"), ("rep", "other", "bits", "n")
 #: The bits that are set in each byte value, as a 256 x 8 table.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -141,23 +143,34 @@ def components(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2,
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> np.ndarray:
-    """256 majority bits over the XXH3-128 values of shingles with two seeds, as four unsigned words; all 0 without words."""
+def shingles(text: str | None, width: int = 5) -> list[bytes]:
+    """The distinct word shingles of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE, dtype=np.uint64)
+        return []
     joined = b" ".join(words)
     width = min(width, len(words))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
-    shingles = [joined[s:e] for s, e in zip(starts.tolist(), (starts + lengths)[width - 1 :].tolist())]
+    return list(dict.fromkeys(joined[s:e] for s, e in zip(starts.tolist(), (starts + lengths)[width - 1 :].tolist())))
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """256 majority bits over the XXH3-128 values of the distinct shingles with two seeds, as four unsigned words (all 0 without words), and 64 bits of each shingle.
+
+    A shingle counts once however often it stands in the text, as in ``similarity``.
+    """
+    found = shingles(text, width)
+    if not found:
+        return np.zeros(WIDE, dtype=np.uint64), np.empty(0, np.int64)
     digest = xxhash.xxh3_128_digest
-    parts = []
+    parts, hashes = [], None
     for seed in range(WIDE // 2):
-        octets = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 16)
+        octets = np.frombuffer(b"".join([digest(x, seed) for x in found]), np.uint8).reshape(-1, 16)
         counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BYTE_BITS for k in range(16)])
-        parts.append(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8"))
-    return np.concatenate(parts)
+        parts.append(np.packbits(2 * counts > len(found), bitorder="little").view("<u8"))
+        hashes = octets.view("<i8")[:, 0] if hashes is None else hashes
+    return np.concatenate(parts), hashes
 
 
 def similarity(a: str, b: str, width: int = 5) -> float:
@@ -176,19 +189,48 @@ def content(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, c0, c1, f0 .. f3) for rows with a doc_id; c0 and c1 hold the ``content``."""
+def wide_fingerprints(docs: DataFrame, width: int = 5, longest: int = 0) -> DataFrame:
+    """(doc_id, c0, c1, f0 .. f3, size, shingles) for rows with a doc_id.
+
+    c0 and c1 hold the ``content``, size the number of distinct shingles; shingles has their hashes if there are ``longest`` at most, else null.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, "text"):
             texts = batch.column(1).to_pylist()
             same = np.frombuffer(b"".join(map(content, texts)), np.int64).reshape(-1, 2)
-            found = np.array([wide_fingerprint(t, width) for t in texts]).reshape(-1, WIDE).view(np.int64)
+            bits, sizes, short = [], [], []
+            for text in texts:
+                fp, hashes = wide_fingerprint(text, width)
+                bits.append(fp)
+                sizes.append(len(hashes))
+                short.append(hashes.copy() if len(hashes) <= longest else None)
+            found = np.array(bits).reshape(-1, WIDE).view(np.int64)
             columns = [pa.array(x[:, k].copy()) for x in (same, found) for k in range(x.shape[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *CONTENT, *FIELDS])
+            columns += [pa.array(sizes, pa.int64()), pa.array(short, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *CONTENT, *FIELDS, "size", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return rows.mapInArrow(each, "doc_id long, " + ", ".join(f"{f} long" for f in (*CONTENT, *FIELDS)))
+    return rows.mapInArrow(each, "doc_id long, " + ", ".join(f"{f} long" for f in (*CONTENT, *FIELDS)) + ", size long, shingles array<long>")
+
+
+def short_pairs(short: DataFrame, threshold: float) -> DataFrame:
+    """(rep, other): all pairs of different roots that can reach ``threshold``, by prefix filtering. short: rep, root, size, shingles.
+
+    In an order that all texts share (rarest first), two sets that similar have a shingle in common among the first size - ceil(threshold * size) + 1
+    of each. Shingles that stand in one group only are left out of the join, so a large group lists no pairs of its own.
+    """
+    each = short.select("rep", "root", "size", F.explode("shingles").alias("s"))
+    known = each.groupBy("s").agg(F.count("*").alias("docs"), (F.min("root") != F.max("root")).alias("open"))
+    ordered = each.join(known, "s").groupBy("rep", "root", "size").agg(F.array_sort(F.collect_list(F.struct("docs", "s", "open"))).alias("order"))
+    first = F.expr(f"slice(order, 1, cast(size - ceil({threshold}D * size - 1e-9D) + 1 as int))")
+    prefix = keep(ordered.select("rep", "root", "size", F.posexplode(first).alias("at", "x")).where("x.open").select("rep", "root", "size", "at", F.col("x.s").alias("s")))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    able = F.expr(
+        f"a.rep > b.rep and a.root <> b.root and least(a.size, b.size) >= {threshold}D * greatest(a.size, b.size) - 1e-9D"
+        f" and least(a.size - a.at, b.size - b.at) >= {threshold / (1 + threshold)}D * (a.size + b.size) - 1e-9D"
+    )  # the last: what can be in common from the first common shingle on
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & able).select(F.col("a.rep").alias("rep"), F.col("b.rep").alias("other")).distinct()
 
 
 def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -292,24 +334,29 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius:
     """The rows of docs that stay: of each group that links of a similarity of ``threshold`` or more connect, those with the least doc_id.
 
     Similarity is Jaccard's, of word shingles of whole texts. Candidates are pairs of 256-bit fingerprints within ``radius`` bits (a
-    pair at 0.8 differs by 39 on average, standard deviation 6). The nearest earlier one of each document is checked exactly, and the links that hold
+    pair at 0.8 differs by 39 on average, standard deviation 6), and all pairs that can be similar where one text has ``SHORT`` distinct shingles at most.
+    The nearest earlier one of each document is checked exactly, and the links that hold
     are joined up; then all other candidates in different groups are checked, so every verified candidate counts, but pairs within a group needn't
     be listed. Texts with the same words in the same order, letter case aside, are copies, and a group of copies costs one
     row; equal fingerprints alone decide nothing. The columns of docs come back unchanged; rows with a null doc_id stay, for nothing orders them.
     """
-    marked = keep(wide_fingerprints(docs, width))
-    classes = keep(marked.groupBy(*CONTENT, *FIELDS).agg(F.min("doc_id").alias("rep")))
+    # A text similar to one of SHORT shingles has SHORT / threshold at most.
+    marked = keep(wide_fingerprints(docs, width, int(SHORT / threshold + 1e-9)))
+    classes = keep(marked.groupBy(*CONTENT, *FIELDS, "size").agg(F.min("doc_id").alias("rep")))
     found = keep(earlier_links(classes.withColumns({"root": F.col("rep"), "asked": F.lit(True)}), radius, False, tile_rows))
     best = F.min(F.struct("bits", "other"))
     nearest = keep(found.groupBy("rep").agg(best.alias("best"), F.sum("n").alias("n")).select("rep", F.col("best.other").alias("other"), "n"))
     linked = keep(_similar(nearest, docs, threshold, width))
     rooted = _rooted(classes, linked)
-    open_ = keep(nearest.where("n > 1").select("rep", F.lit(True).alias("asked")))
+    short = marked.where("shingles is not null").join(rooted.select("rep", "root", *CONTENT), list(CONTENT)).where("doc_id = rep").dropDuplicates(["rep"])
+    pairs = short_pairs(short.select("rep", "root", "size", "shingles"), threshold)
+    open_ = keep(nearest.where("n > 1").join(rooted.where(F.col("size") > SHORT).select("rep"), "rep").select("rep", F.lit(True).alias("asked")))
     if open_.limit(1).count():
         asked = rooted.join(open_, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        more = keep(_similar(earlier_links(asked, radius, True, tile_rows), docs, threshold, width))
-        if more.limit(1).count():
-            rooted = _rooted(classes, linked.unionByName(more))
+        pairs = pairs.unionByName(earlier_links(asked, radius, True, tile_rows).select("rep", "other"))
+    more = keep(_similar(pairs, docs, threshold, width))
+    if more.limit(1).count():
+        rooted = _rooted(classes, linked.unionByName(more))
     out = marked.join(rooted.select("root", *CONTENT), list(CONTENT)).where("doc_id <> root").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(out, docs["doc_id"].cast("long") == out["__gone"], "left_anti")
 

@@ -184,3 +184,21 @@ def test_groups_keep_their_first_document(spark):
     assert len(set(root.values())) == 24 - links and links > 3
     for tile_rows in (8, 100_000):
         assert {r["doc_id"] for r in simhash.deduplicate(docs, tile_rows=tile_rows).collect()} == set(root.values())
+
+
+def test_short_and_repetitive_near_duplicates_go(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):  # 9 words against 8: 4 of 5 shingles
+        words = random_words(rng, 9)
+        texts += [" ".join(words), " ".join(words[:-1])]
+    for _ in range(60):  # up to 80 shingles, 0.8 or just below
+        words = random_words(rng, rng.randint(6, 84))
+        texts += [" ".join(words), " ".join(words[: len(words) - rng.randint(0, (len(words) - 4) // 4)])]
+    for _ in range(10):
+        words, sentence = random_words(rng, 200), random_words(rng, 8)
+        texts += [" ".join(words + sentence * 40), " ".join(words + sentence * 2)]
+    texts += ["over and " * 6, "over and " * 9, "one", "one two", "ONE two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = components(range(len(texts)), lambda a, b: plain_similarity(texts[a], texts[b]) >= 0.8)
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == set(root.values())
