@@ -235,9 +235,9 @@ def topk_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.top_k_per_cell(grid.assign(points, 4), query, 3).select("cell", "id", "dist", F.col("rank").cast("long").alias("rank")))
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, sf_dir: str, parts: tuple[str, str] = ("0, 1, 2", "2, 3, 4")) -> tuple[DataFrame, DataFrame]:
     points, query = _sets(spark, sf_dir)
-    return tuple(evaluate.top_k(evaluate.sum_distances(sources.valid(points).where(f"id % 6 in ({a})"), query), K) for a in ("0, 1, 2", "2, 3, 4"))
+    return tuple(evaluate.top_k(evaluate.sum_distances(sources.valid(points).where(f"id % 6 in ({a})"), query), K) for a in parts)
 
 
 def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +248,24 @@ def topk_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.difference(*_lists(spark, sf_dir)))
 
 
+#: Overlapping parts that cover all ids.
+WHOLE = ("0, 1, 2, 3", "2, 3, 4, 5")
+
+
+def merge_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.merge(*_lists(spark, sf_dir, WHOLE), K))
+
+
+def topk_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.difference(*_lists(spark, sf_dir, WHOLE)))
+
+
+def gnn_all_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all customers as query points."""
+    points, query = sources.orders_points(spark, sf_dir), sources.customer_queries(spark, sf_dir, None)
+    return _rounded(evaluate.top_k(evaluate.sum_distances_arrow(sources.valid(points), query), K))
+
+
 def sumdx_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, query = _sets(spark, sf_dir)
     # Nine decimals, for these sums often lie halfway between values of six.
@@ -276,6 +294,10 @@ def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sorted_lines(lines)
 
 
+def sorted_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.sorted_lines(sources.orders_points(spark, sf_dir).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("value")))
+
+
 def set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many points of each derived set the partitionings accept and reject."""
     frames = []
@@ -328,6 +350,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_deterministic": sample_deterministic,
     "sorted_lines": sorted_lines,
     "set_counts": set_counts,
+    "merge_topk_whole": merge_topk_whole,
+    "topk_difference_whole": topk_difference_whole,
+    "gnn_all_customers": gnn_all_customers,
+    "sorted_lines_whole": sorted_lines_whole,
 }
 
 _DM = "m AS (SELECT max(dist) AS dm FROM top)"
@@ -409,4 +435,10 @@ ORACLES: dict[str, str] = {name: ANSWER for name in QUERIES if name.startswith("
         f"(WITH {prelude} SELECT '{name}' AS name, '{kind}' AS kind, count(*) FILTER ({'' if kind == 'valid' else 'NOT '}(x >= 0 AND x < 1 AND y >= 0 AND y < 1)) AS n FROM t)"
         for name, prelude in (("orders", T), ("events", E)) for kind in ("valid", "rejected")
     ),
+    "merge_topk_whole": _with(
+        T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM (SELECT DISTINCT * FROM ({_HALF.format(WHOLE[0], K)} UNION ALL {_HALF.format(WHOLE[1], K)})) ORDER BY dist, id LIMIT {K}"
+    ),
+    "topk_difference_whole": _with(T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM {_HALF.format(WHOLE[0], K)} WHERE id NOT IN (SELECT id FROM {_HALF.format(WHOLE[1], K)})"),
+    "gnn_all_customers": _with(T, Q.replace(" WHERE c_custkey <= 200", ""), V, DIST, TOP, select="SELECT id, round(dist, 6) AS dist FROM top"),
+    "sorted_lines_whole": _with(T, select="SELECT 'p' || id AS value FROM t ORDER BY value"),
 }

@@ -90,9 +90,10 @@ def events_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").cast("long").alias("id"), ((seconds - 1704067200.0) / F.lit(2678400.0)).alias("x"), ((F.col("value") + 1) / F.lit(602.0)).alias("y"))
 
 
-def customer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some two hundred customers as query points in the middle of the square."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 200")
+def customer_queries(spark: SparkSession, sf_dir: str, last: int | None = 200) -> DataFrame:
+    """Customers up to a key as query points in the middle of the square: some two hundred (set Q1 of FIXTURES.md), or all with None."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = customers if last is None else customers.where(F.col("c_custkey") <= last)
     x = (F.col("c_acctbal") + 1000) / F.lit(11000.0) * F.lit(0.2) + F.lit(0.4)
     y = ((F.col("c_custkey") * 37) % 101 + F.lit(0.5)) / F.lit(101.0) * F.lit(0.2) + F.lit(0.4)
     return customers.select(F.col("c_custkey").cast("long").alias("qid"), x.alias("qx"), y.alias("qy"))

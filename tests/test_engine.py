@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from nearfold.functions import geometry
 from nearfold.operators import evaluate, grid, prune, quadtree, seeds, summary
 from nearfold.plans import engine
+from nearfold.plans import queries as plans
 from nearfold.sources import points as sources
 from nearfold.sources import sinks
 from nearfold.streaming.neighbors import RunningNeighbors
@@ -299,3 +300,13 @@ def test_stream(spark, tmp_path):
     same(running.value(), nearest(rows, query, 4))
     running.reset()
     assert running.value().count() == 0
+
+
+def test_whole_queries_leave_no_ids_out(spark):
+    data = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    assert [r["value"] for r in plans.QUERIES["sorted_lines_whole"](spark, data).collect()] == sorted(f"p{r[0]}" for r in orders.select("o_orderkey").collect())
+    rows = [[tuple(r) for r in plans.QUERIES[name](spark, data).collect()] for name in ("merge_topk_whole", "gnn_bruteforce")]
+    assert sorted(rows[0]) == sorted(rows[1]) and {i % 6 for i, _ in rows[0]} - set(range(5))
+    larger = "/root/testdata/sf0.01"
+    assert sources.customer_queries(spark, larger, None).count() == spark.read.parquet(f"{larger}/customer.parquet").count() > 1000
