@@ -5,7 +5,8 @@ The documents of a source, in a seeded order, form one stream of words that is c
 weight / (2 k + 1), and a source that has reached its cap takes no more. Divisor methods are house monotone, so
 consecutive runs of seats give each output shard an integer quota of every source. A source whose quota
 exceeds its stream is passed over whole as often as it fits; of the rest, blocks are selected by a seeded
-full-cycle permutation, so exactly the quota is taken, and a selected block goes to the shard whose quota it fills.
+full-cycle permutation, so exactly the quota is taken, and a selected block goes to the shard whose quota it fills. A source smaller than a
+block has no seats: it is passed over whole as often as its target holds it, then gives the documents whose middle the rest reaches.
 
 Only per-source totals (checked against ``MOST_SOURCES``) reach the driver. Positions in a stream are
 distributed running totals; no source meets in one task.
@@ -91,8 +92,10 @@ def plan(sizes: dict[str | None, int], pattern: Sequence[float], share: float, m
     weights = [float(pattern[k % len(pattern)]) for k in range(len(names))]
     caps = [most * sizes[s] for s in names]
     targets = water_fill(weights, caps, share * sum(sizes.values()))
-    house = round(share * sum(sizes.values()) / block_words)
-    limits = [round(c / block_words) for c in caps]
+    # A source smaller than a block is taken by whole documents, outside the house.
+    tiny = [min(t, c) if sizes[s] < block_words else 0 for s, t, c in zip(names, targets, caps, strict=True)]
+    house = round((share * sum(sizes.values()) - sum(tiny)) / block_words)
+    limits = [round(c / block_words) if sizes[s] >= block_words else 0 for s, c in zip(names, caps, strict=True)]
     ends = [house * k // n_shards for k in range(n_shards + 1)]
     grown = [sainte_lague(weights, limits, h) for h in ends]
     rows = []
@@ -101,7 +104,9 @@ def plan(sizes: dict[str | None, int], pattern: Sequence[float], share: float, m
         blocks = size // block_words
         if blocks > 3_000_000_000:
             raise ValueError("more than 3e9 blocks in a source; raise block_words")
-        passes = quota * block_words // size if size else 0
+        passes = min(quota * block_words // size, int(most)) if size else 0
+        if 0 < size < block_words:
+            passes = int(tiny[k] / size + 1e-9)
         chosen = min(blocks, round((quota * block_words - passes * size) / block_words))
         random_ = random.Random(f"{seed}|{name!r}")
         step, turn = 1, random_.randrange(max(1, blocks))
@@ -112,11 +117,12 @@ def plan(sizes: dict[str | None, int], pattern: Sequence[float], share: float, m
         rows.append({
             "__s": "n" if name is None else f"v{name}", "source_size": size, "target": target, "__blocks": blocks, "passes": passes, "__chosen": chosen,
             "__step": step, "__turn": turn, "__quotas": [grown[j + 1][k] - grown[j][k] for j in range(n_shards)],
+            "__words": max(0.0, tiny[k] - passes * size), "__shard": random_.randrange(n_shards),
         })
     return rows
 
 
-PLAN = "__s string, source_size long, target double, __blocks long, passes long, __chosen long, __step long, __turn long, __quotas array<long>"
+PLAN = "__s string, source_size long, target double, __blocks long, passes long, __chosen long, __step long, __turn long, __quotas array<long>, __words double, __shard int"
 #: The columns that mix() adds; columns of these names in its input are replaced.
 ADDED = ("source_size", "target", "passes", "spans", "taken")
 
@@ -151,6 +157,8 @@ def mix(rows: DataFrame, size: str = "size", pattern: Sequence[float] = (5, 2, 1
             cast(size(filter(sequence(0, {n_shards} - 1), j -> aggregate(slice(__quotas, 1, j + 1), 0L, (a, q) -> a + q) <= x.place)) as int) as shard))
         """
     )
+    begun = (F.col(size) > 0) & (2 * F.col("__at_before") + F.col(size) <= 2 * F.col("__words") + 1e-6)
+    spans = F.when(begun, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col(size).cast("long").alias("stop"), F.col("__shard").alias("shard")))).otherwise(spans)
     taken = F.col("passes") * F.col(size) + F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["first"])
     return joined.withColumn("spans", spans).withColumn("taken", taken).select(*names, "source_size", "target", "passes", "spans", "taken")
 
@@ -183,7 +191,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     placed = mix(sized, size="__size", ties=("doc_id", "__crc"), **options)
-    whole = placed.where("passes > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
+    whole = placed.where("passes > 0 and __size > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
     part = placed.where(F.size("spans") > 0).withColumn("text", F.pandas_udf(_selected, "string")("text", F.expr("transform(spans, x -> x.first)"), F.expr("transform(spans, x -> x.stop)")))
     if "n_chars" in names:
         part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

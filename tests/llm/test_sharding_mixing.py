@@ -181,3 +181,17 @@ def test_mixed_documents(spark):
 def test_cut_words():
     text = " a  b\tc\nd e "
     assert mixing.cut_words(text, [(0, 2), (2, 3)]) == "a  b\tc" and mixing.cut_words(text, [(3, 5), (0, 1)]) == "a\nd e"
+
+
+def test_sources_smaller_than_a_block_meet_their_targets(spark):
+    sizes = {"big": 20_000, **{f"t{n:02d}": n for n in (1, 5, 16, 17, 20, 21, 33, 40, 47, 63)}}
+    docs = [(k * 100 + j, name, " ".join(f"{name}x{w}" for w in range(j, n, 3))) for k, (name, n) in enumerate(sizes.items()) for j in range(3) if j < n]
+    frame = spark.createDataFrame([*docs, (9999, "t05", None)], "doc_id long, source string, text string").withColumn("size", mixing.word_count(F.col("text")))
+    for options in ({"pattern": (1,) + (5,) * 10, "n_shards": 4}, {"pattern": (1,) * 11, "share": 0.9}):
+        rows = mixing.mix(frame, **options).collect()
+        for name, size in sizes.items():
+            own = [r for r in rows if r["source"] == name]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= (64 if name == "big" else max(r["size"] for r in own) / 2 + 1e-6)
+            assert all(r["taken"] <= 2 * r["size"] for r in own)
+    mixed = mixing.mixed_documents(frame.select("doc_id", "source", "text"), pattern=(1,) + (5,) * 10).where("source <> 'big'").collect()
+    assert Counter(r["text"] for r in mixed) == {t: 2 for _, s, t in docs if s != "big"}
