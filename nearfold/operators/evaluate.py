@@ -1,4 +1,8 @@
-"""Exact distances to the query set, top-k lists, and the plane-sweep bound."""
+"""Exact distances to the query set, top-k lists, and the plane-sweep bound.
+
+A point's distances are summed where the point is read, in numpy over Arrow batches, with the query set as an array in each task. So points are
+never shuffled: only per-id minima, or k rows of each partition, leave a task.
+"""
 
 from __future__ import annotations
 
@@ -7,41 +11,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.functions.geometry import distance
-from nearfold.operators.tables import require_small
+from nearfold.operators.queryset import QuerySet, load, sums, sums_dx
 
+#: Relative slack for the rounding of closed forms and of sums in another order.
+SLACK = 1e-9
+RAW = "id long, dist double, read long, swept long, summed long"
 
-def sum_distances(points: DataFrame, query: DataFrame) -> DataFrame:
-    """(id, dist) for each id: the sum of distances to the query set; of several points with one id the nearest counts.
 
-    The query set is broadcast (its size is checked), and sums combine on the map side, so a point leaves its task as one row.
-    """
-    small = require_small(query, "the query set")
-    total = small.agg(F.count("*").alias("nq"))
-    pairs = points.select("id", "x", "y").crossJoin(small).groupBy("id", "x", "y").agg(F.sum(distance(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))).alias("s"), F.count("*").alias("c"))
-    copies = F.col("c") / F.col("nq")  # equal rows are summed together; 1 for a point that occurs once
-    return pairs.crossJoin(F.broadcast(total)).groupBy("id").agg(F.min(F.col("s") / copies).alias("dist"))  # total has one row
+def _numbers(batch: pa.RecordBatch, *columns: int) -> list[np.ndarray]:
+    return [np.asarray(batch.column(k), dtype=np.float64) for k in columns]
 
 
-def sum_distances_arrow(points: DataFrame, query: DataFrame, chunk: int = 1 << 21) -> DataFrame:
-    """The same in numpy, for large query sets: no shuffle before the minimum by id, and memory bounded by ``chunk`` distances."""
-    at = query.select("qx", "qy").toPandas().to_numpy(dtype=np.float64) if query.count() <= 5_000_000 else None
-    if at is None:
-        raise ValueError("the query set has more than 5000000 rows")
+def sum_distances(points: DataFrame, query: DataFrame | QuerySet) -> DataFrame:
+    """(id, dist) for each id: the sum of distances to the query set; of several points with one id the nearest counts."""
+    chunks = load(query).reader()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = max(1, chunk // max(1, len(at)))
+        held = chunks()
         for batch in batches:
-            x, y = (np.asarray(batch.column(k), dtype=np.float64) for k in (1, 2))
-            sums = [np.sqrt((x[s : s + rows, None] - at[:, 0]) ** 2 + (y[s : s + rows, None] - at[:, 1]) ** 2).sum(axis=1) for s in range(0, len(x), rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sums) if sums else np.empty(0))], ["id", "dist"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums(*_numbers(batch, 1, 2), held)[1])], ["id", "dist"])
 
     return points.select("id", "x", "y").mapInArrow(each, "id long, dist double").groupBy("id").agg(F.min("dist").alias("dist"))
 
 
+class Best:
+    """The k nearest different ids so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.dist = k, np.empty(0, np.int64), np.empty(0)
+
+    def add(self, ids: np.ndarray, dist: np.ndarray) -> None:
+        ids, dist = np.concatenate([self.ids, ids]), np.concatenate([self.dist, dist])
+        order = np.lexsort((dist, ids))
+        ids, dist = ids[order], dist[order]
+        first = np.append(True, ids[1:] != ids[:-1])[: len(ids)]
+        ids, dist = ids[first], dist[first]
+        order = np.lexsort((ids, dist))[: self.k]
+        self.ids, self.dist = ids[order], dist[order]
+
+    @property
+    def bound(self) -> float:
+        return self.dist[-1] if len(self.ids) == self.k else math.inf
+
+
+def nearest(points: DataFrame, query: DataFrame | QuerySet, k: int, dm: float = math.inf, by_sweep: bool = False, fast: bool = True) -> DataFrame:
+    """Rows (id, dist, ...) that hold the k nearest points, k of each partition at most, and one with a null id for each partition that counts points:
+    read, ruled out by the sweep bound, and summed to the end. Points farther than ``dm`` may be left out.
+
+    by_sweep: the sum of x-distances alone rules points out first. fast: a sum is given up when it exceeds the bound.
+    """
+    chunks = load(query).reader()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best, read, swept, summed = chunks(), Best(k), 0, 0, 0
+        for batch in batches:
+            ids, (x, y) = np.asarray(batch.column(0)), _numbers(batch, 1, 2)
+            bound = min(dm, best.bound) * (1 + SLACK)
+            read += len(ids)
+            if by_sweep:
+                able = sums_dx(x, held) * (1 - SLACK) <= bound
+                swept += len(ids) - int(able.sum())
+                ids, x, y = ids[able], x[able], y[able]
+            places, dist = sums(x, y, held, bound if fast else math.inf)
+            summed += len(places)
+            best.add(ids[places], dist)
+        zeros, one = np.zeros(len(best.ids), np.int64), [read, swept, summed]
+        ids = pa.array([*best.ids.tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.append(best.dist, 0.0)), *(pa.array(np.append(zeros, n)) for n in one)], ["id", "dist", "read", "swept", "summed"])
+
+    return points.select("id", "x", "y").mapInArrow(each, RAW)
+
+
+def by_id(raw: DataFrame) -> DataFrame:
+    """The rows of ``nearest`` with each id once; counts are added up."""
+    return raw.groupBy("id").agg(F.min("dist").alias("dist"), *[F.sum(c).alias(c) for c in ("read", "swept", "summed")])
+
+
 def top_k(neighbors: DataFrame, k: int) -> DataFrame:
     """The k nearest by (dist, id): a bounded list for each partition, then one merge."""
     return neighbors.orderBy("dist", "id").limit(k)
@@ -49,15 +97,22 @@ def top_k(neighbors: DataFrame, k: int) -> DataFrame:
 
 def top_k_per_cell(placed: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """(cell, id, dist, rank) with rank <= k in each cell; each partition keeps only k rows of a cell before the shuffle."""
-    distances = sum_distances(placed, query)
-    cells = placed.select("id", "cell").distinct()
-    ranked = cells.join(distances, "id").withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "id")))
+    chunks = load(query).reader()
+    kind = placed.schema["cell"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = chunks()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums(*_numbers(batch, 2, 3), held)[1])], ["cell", "id", "dist"])
+
+    distances = placed.select("cell", "id", "x", "y").mapInArrow(each, f"cell {kind}, id long, dist double").groupBy("cell", "id").agg(F.min("dist").alias("dist"))
+    ranked = distances.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("dist", "id")))
     return ranked.where(F.col("rank") <= k)
 
 
 def merge(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Two lists as one: each id once, with its least distance."""
-    return top_k(first.unionByName(second).groupBy("id").agg(F.min("dist").alias("dist")), k)
+    return top_k(without_duplicates(first.unionByName(second)), k)
 
 
 def difference(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -75,33 +130,23 @@ def kth_distance(neighbors: DataFrame, k: int) -> float:
     return row["d"] if row["n"] >= k else math.inf
 
 
-def sweep_steps(query: DataFrame) -> DataFrame:
-    """(lo, hi, r, p, n, total): between consecutive x of the query set, r of them lie at or below, with sum p; n and total are over all.
-
-    The query set is small (checked where it is joined), so ordering it in one task is fine.
-    """
-    along = Window.orderBy("qx", "qid")
-    everything = Window.partitionBy()
-    ranked = query.select(
-        F.col("qx").alias("lo"), F.lead("qx").over(along).alias("hi"), F.row_number().over(along).alias("r"), F.sum("qx").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("p"),
-        F.count("*").over(everything).alias("n"), F.sum("qx").over(everything).alias("total"),
-    )
-    first = ranked.where("r = 1").select(F.lit(-math.inf).alias("lo"), F.col("lo").alias("hi"), F.lit(0).alias("r"), F.lit(0.0).alias("p"), "n", "total")
-    return ranked.withColumn("hi", F.coalesce("hi", F.lit(math.inf))).where("lo < hi").unionByName(first)
+def sum_dx(points: DataFrame, query: DataFrame | QuerySet) -> DataFrame:
+    """points with sumdx, the sum of |qx - x| over the query set, in closed form: a lower bound of the distance sum."""
+    chunks = load(query).reader()
+    place, names = points.columns.index("x"), [*points.columns, "sumdx"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = chunks()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums_dx(*_numbers(batch, place), held))], names)
 
-def sum_dx(points: DataFrame, query: DataFrame) -> DataFrame:
-    """points with sumdx, the sum of |qx - x| over the query set, in closed form: a lower bound of the distance sum."""
-    require_small(query, "the query set")
-    steps = F.broadcast(sweep_steps(query))  # a row for each query point at most, and one more
-    joined = points.join(steps, (F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi")))
-    value = F.col("x") * (2 * F.col("r") - F.col("n")) + F.col("total") - 2 * F.col("p")
-    return joined.withColumn("sumdx", value).select(*points.columns, "sumdx")
+    return points.mapInArrow(each, f"{kinds}, sumdx double")
 
 
-def sweep(points: DataFrame, query: DataFrame, dm: float, slack: float = 1e-9) -> DataFrame:
-    """The points that the x-distances alone don't rule out. slack covers rounding of the closed form."""
-    return sum_dx(points, query).where(F.col("sumdx") * (1 - slack) < dm).drop("sumdx")
+def sweep(points: DataFrame, query: DataFrame | QuerySet, dm: float) -> DataFrame:
+    """The points that the x-distances alone don't rule out."""
+    return sum_dx(points, query).where(F.col("sumdx") * (1 - SLACK) < dm).drop("sumdx")
 
 
 def order_by_x(points: DataFrame, descending: bool = False) -> DataFrame:
@@ -110,8 +155,3 @@ def order_by_x(points: DataFrame, descending: bool = False) -> DataFrame:
 
 def order_by_y(points: DataFrame, descending: bool = False) -> DataFrame:
     return points.orderBy(F.col("y").desc() if descending else F.col("y").asc(), "id")
-
-
-def nearest_first(dist: str = "dist", key: str = "id") -> list[Column]:
-    """The order of every list of neighbours: by distance, ties by id."""
-    return [F.col(dist).asc(), F.col(key).asc()]

@@ -10,12 +10,16 @@ and a point t can't if  H4  n * distance(t, c) >= dm + S.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.geometry import distance, mindist_point_rect, mindist_rect_rect
+from nearfold.operators.queryset import TILE, QuerySet, load
 from nearfold.operators.summary import Summary
-from nearfold.operators.tables import require_small
 
 
 def _corners() -> tuple[Column, Column, Column, Column]:
@@ -40,11 +44,29 @@ def in_reach(summary: Summary, dm: float) -> Column:
     return F.col("x").between(summary.xmin - reach, summary.xmax + reach) & F.col("y").between(summary.ymin - reach, summary.ymax + reach)
 
 
-def sum_mindist(cells: DataFrame, query: DataFrame) -> DataFrame:
-    """cells with bound: the sum over the query set of mindist(cell, q). One partial sum for each cell leaves a task."""
-    pairs = cells.crossJoin(require_small(query, "the query set"))
-    names = cells.columns
-    return pairs.groupBy(*names).agg(F.sum(mindist_point_rect(F.col("qx"), F.col("qy"), *_corners())).alias("bound"))
+def sum_mindist(cells: DataFrame, query: DataFrame | QuerySet) -> DataFrame:
+    """cells with bound: the sum over the query set of mindist(cell, q), summed where the cell is read."""
+    chunks = load(query).reader()
+    places = [cells.columns.index(c) for c in ("x0", "y0", "ds")]
+    names = [*cells.columns, "bound"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = chunks()
+        for batch in batches:
+            x0, y0, ds = (np.asarray(batch.column(k), dtype=np.float64) for k in places)
+            bound = np.zeros(batch.num_rows)
+            for chunk in held:
+                for low in range(0, len(chunk.x), TILE):
+                    qx, qy, w = chunk.x[low : low + TILE], chunk.y[low : low + TILE], chunk.w[low : low + TILE]
+                    rows = max(1, TILE // len(qx))
+                    for s in range(0, len(x0), rows):
+                        a, b, d = x0[s : s + rows, None], y0[s : s + rows, None], ds[s : s + rows, None]
+                        dx, dy = np.maximum(np.maximum(a - qx, qx - a - d), 0), np.maximum(np.maximum(b - qy, qy - b - d), 0)
+                        bound[s : s + rows] += np.sqrt(dx * dx + dy * dy) @ w
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names)
+
+    return cells.mapInArrow(each, f"{kinds}, bound double")
 
 
 def h1(cells: DataFrame, summary: Summary, dm: float) -> DataFrame:

@@ -6,7 +6,7 @@ total gives the last round that is needed, and the seeds are the cells touched b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.geometry import mindist_point_rect
@@ -65,10 +65,12 @@ def disk_rounds(cells: DataFrame, summary: Summary, home: Column, width: Column,
 
 def cut(rounds: DataFrame, k: int, at_least: bool) -> DataFrame:
     """The cells touched up to the first round whose running total is >= k (at_least) or > k."""
-    along = Window.orderBy("m")  # one row for each round
-    totals = rounds.where("m is not null").groupBy("m").agg(F.sum("n").alias("n")).select("m", F.sum("n").over(along).alias("total"))
-    last = totals.where(F.col("total") >= k if at_least else F.col("total") > k).agg(F.min("m")).first()[0]
-    return rounds if last is None else rounds.where(F.col("m") <= last)
+    total = 0
+    for row in sorted(rounds.where("m is not null").groupBy("m").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["m"]):  # one row for each round
+        total += row["n"]
+        if total >= k if at_least else total > k:
+            return rounds.where(F.col("m") <= row["m"])
+    return rounds
 
 
 def box_seeds(cells: DataFrame, summary: Summary, k: int) -> DataFrame:

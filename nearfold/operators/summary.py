@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfold.functions.geometry import distance
+from nearfold.operators.queryset import QuerySet, load
+from nearfold.sources.points import SUMMARY
+
 
 def bounding_box(query: DataFrame) -> DataFrame:
     return query.agg(F.min("qx").alias("xmin"), F.max("qx").alias("xmax"), F.min("qy").alias("ymin"), F.max("qy").alias("ymax"))
@@ -18,58 +24,62 @@ def mean_point(query: DataFrame) -> DataFrame:
 
 def median_query_point(query: DataFrame) -> DataFrame:
     """The query point in the middle of the order by x (the upper one of two); ties by id."""
-    ordered = F.array_sort(F.collect_list(F.struct("qx", "qid", "qy")))
-    middle = F.element_at(F.col("o"), (F.floor(F.size("o") / 2) + 1).cast("int"))
-    return query.agg(ordered.alias("o")).where(F.size("o") > 0).select(middle["qid"].alias("qid"), middle["qx"].alias("qx"), middle["qy"].alias("qy"))
-
-
-def _sum(points: Column, term) -> Column:
-    return F.aggregate(points, F.lit(0.0), lambda a, q: a + term(q))
-
+    return query.orderBy("qx", "qid").offset(query.count() // 2).limit(1).select("qid", "qx", "qy")
 
-def geometric_median(query: DataFrame, step: float = 1e-6, min_dist: float = 10.0, limit: int = 100, diff: float = 1e-6) -> DataFrame:
-    """One row: xmin, xmax, ymin, ymax, xc, yc, sum_dist_cq, by descent from the mean.
-
-    Each round moves against the gradient by ``step``; it goes on while the sum of distances exceeds ``min_dist``, fewer than ``limit`` rounds
-    are done and the move was longer than ``diff``. A query point that the centre falls on adds nothing to the gradient. The whole descent is one
-    expression over the (small) collected set.
-    """
-    points = F.array_sort(F.collect_list(F.struct("qid", "qx", "qy")))
-    base = query.agg(
-        F.min("qx").alias("xmin"), F.max("qx").alias("xmax"), F.min("qy").alias("ymin"), F.max("qy").alias("ymax"),
-        F.avg("qx").alias("xm"), F.avg("qy").alias("ym"), points.alias("q"),
-    )
-    q = F.col("q")
 
-    def away(x: Column, y: Column):
-        return lambda p: F.sqrt((x - p["qx"]) * (x - p["qx"]) + (y - p["qy"]) * (y - p["qy"]))
+def _pull(query: QuerySet, x: float, y: float) -> tuple[float, float, float]:
+    """At (x, y): the gradient of the sum of distances, where a query point at distance 0 adds nothing, and the sum."""
+    if query.one is not None:
+        dx, dy = x - query.one.x, y - query.one.y
+        d = np.sqrt(dx * dx + dy * dy)
+        each = query.one.w / np.where(d > 0, d, np.inf)
+        return float(dx @ each), float(dy @ each), float(d @ query.one.w)
+    d = distance(F.col("qx"), F.col("qy"), x, y)
+    part = F.when(d > 0, d)
+    row = query.frame.agg(F.sum((F.lit(x) - F.col("qx")) / part), F.sum((F.lit(y) - F.col("qy")) / part), F.sum(d)).first()
+    return tuple(v or 0.0 for v in row)
 
-    def pull(x: Column, y: Column, axis: Column, name: str) -> Column:
-        d = away(x, y)
-        return _sum(q, lambda p: F.when(d(p) > 0, (axis - p[name]) / F.when(d(p) > 0, d(p)).otherwise(1.0)).otherwise(0.0))
 
-    def state(x: Column, y: Column, i: Column, s: Column, p: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"), i.alias("i"), s.alias("s"), p.alias("p"))
+def _box(query: QuerySet) -> tuple[float, ...]:
+    """xmin, xmax, ymin, ymax and the mean."""
+    if query.one is not None:
+        x, y, w = query.one.x, query.one.y, query.one.w
+        return tuple(float(v) for v in (x.min(), x.max(), y.min(), y.max(), x @ w / w.sum(), y @ w / w.sum()))
+    return tuple(query.frame.agg(F.min("qx"), F.max("qx"), F.min("qy"), F.max("qy"), F.avg("qx"), F.avg("qy")).first())
 
-    def advance(now: Column, _: Column) -> Column:
-        x, y = now["x"], now["y"]
-        moved = F.array(F.struct((x - step * pull(x, y, x, "qx")).alias("x"), (y - step * pull(x, y, y, "qy")).alias("y")))
 
-        def after(m: Column) -> Column:
-            far = F.sqrt((m["x"] - x) * (m["x"] - x) + (m["y"] - y) * (m["y"] - y))
-            return state(m["x"], m["y"], now["i"] + 1, _sum(q, away(m["x"], m["y"])), far)
+def describe(query: DataFrame | QuerySet, step: float = 1e-6, min_dist: float = 10.0, limit: int = 100, diff: float = 1e-6) -> Summary | None:
+    """The query set's summary with the geometric median by descent from the mean; None if it is empty.
 
-        going = (now["i"] == 0) | ((now["s"] > min_dist) & (now["i"] < limit) & (now["p"] > diff))
-        return F.when(going, F.get(F.transform(moved, after), F.lit(0))).otherwise(now)
-
-    start = state(F.col("xm"), F.col("ym"), F.lit(0), F.lit(0.0), F.lit(0.0))
-    end = base.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.lit(max(1, limit))), start, advance))
-    return end.where(F.size("q") > 0).select("xmin", "xmax", "ymin", "ymax", F.col("end.x").alias("xc"), F.col("end.y").alias("yc"), F.col("end.s").alias("sum_dist_cq"))
+    Each round moves against the gradient by ``step``; it goes on while the sum of distances exceeds ``min_dist``, fewer than ``limit`` rounds
+    are done and the move was longer than ``diff``. A query point that the centre falls on adds nothing to the gradient. A set that
+    one array holds is summed there; a larger one by an aggregation for each round.
+    """
+    held = load(query)
+    if not held.n:
+        return None
+    xmin, xmax, ymin, ymax, x, y = _box(held)
+    gx, gy, _ = _pull(held, x, y)
+    for done in range(1, max(1, limit) + 1):
+        moved = (x - step * gx, y - step * gy)
+        far = math.hypot(moved[0] - x, moved[1] - y)
+        x, y = moved
+        gx, gy, total = _pull(held, x, y)
+        if not (total > min_dist and done < limit and far > diff):
+            break
+    return Summary(xmin, xmax, ymin, ymax, x, y, total, held.n)
+
+
+def geometric_median(query: DataFrame, **options) -> DataFrame:
+    """One row: xmin, xmax, ymin, ymax, xc, yc, sum_dist_cq; none for an empty set."""
+    found = describe(query, **options)
+    row = [] if found is None else [tuple(getattr(found, f.name) for f in SUMMARY.fields)]
+    return query.sparkSession.createDataFrame(row, SUMMARY)
 
 
 @dataclass(frozen=True)
 class Summary:
-    """The one row of ``geometric_median`` and the number of query points, on the driver."""
+    """The one row of ``geometric_median`` and the number of query points."""
 
     xmin: float
     xmax: float
@@ -81,8 +91,16 @@ class Summary:
     n: int
 
 
-def summarize(query: DataFrame, **options) -> Summary:
-    row = geometric_median(query, **options).crossJoin(query.agg(F.count("*").alias("n"))).first()  # both have one row
-    if row is None:
+def summarize(query: DataFrame | QuerySet, **options) -> Summary:
+    found = describe(query, **options)
+    if found is None:
+        raise ValueError("the query set is empty")
+    return found
+
+
+def stored(row: DataFrame, n: int) -> Summary:
+    """A summary that was written before, for a query set of n points."""
+    found = row.select(*[f.name for f in SUMMARY.fields]).first()
+    if found is None or not n:
         raise ValueError("the query set is empty")
-    return Summary(**row.asDict())
+    return Summary(**found.asDict(), n=n)

@@ -15,7 +15,8 @@ from nearfold.functions import geometry
 from nearfold.operators import evaluate, grid, prune, quadtree, seeds, summary
 from nearfold.plans import engine
 from nearfold.sources import points as sources
-from nearfold.sources import sinks
+from nearfold.sources import sinks, store
+from nearfold.streaming.neighbors import RunningNeighbors
 
 K, N, CAPACITY, DEPTH = 10, 50, 500, 10
 SEED_K = 40
@@ -117,7 +118,7 @@ def gnn_bruteforce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gnn_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, query = _sets(spark, sf_dir)
-    return _rounded(evaluate.top_k(evaluate.sum_distances_arrow(sources.valid(points), query), K))
+    return _rounded(evaluate.top_k(evaluate.sum_distances(sources.valid(points), query), K))
 
 
 def gnn_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +186,7 @@ def median_query_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_cells(spark: SparkSession, sf_dir: str, partitioning: str, seed: str) -> DataFrame:
     points, query = _sets(spark, sf_dir)
     config = engine.Query(points, query, SEED_K, partitioning, "bf", seed, n=N, capacity=CAPACITY, max_depth=DEPTH)
-    _, cells, leaves = config.partition()
+    cells, leaves = config.partition()
     return config.seeds(cells, leaves, config.summary()).select("cell", "n", "m")
 
 
@@ -225,7 +226,7 @@ def cell_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and points in all and in the seeds."""
     points, query = _sets(spark, sf_dir)
     config = engine.Query(points, query, SEED_K, n=N)
-    _, cells, leaves = config.partition()
+    cells, leaves = config.partition()
     seeded = config.seeds(cells, leaves, config.summary())
     return cells.agg(F.count("*").alias("cells"), F.sum("n").alias("points")).crossJoin(seeded.agg(F.count("*").alias("seed_cells"), F.sum("n").alias("seed_points")))  # single rows
 
@@ -235,9 +236,13 @@ def topk_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.top_k_per_cell(grid.assign(points, 4), query, 3).select("cell", "id", "dist", F.col("rank").cast("long").alias("rank")))
 
 
-def _lists(spark: SparkSession, sf_dir: str, parts: tuple[str, str] = ("0, 1, 2", "2, 3, 4")) -> tuple[DataFrame, DataFrame]:
+#: Overlapping parts that cover all ids.
+PARTS = ("0, 1, 2, 3", "2, 3, 4, 5")
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     points, query = _sets(spark, sf_dir)
-    return tuple(evaluate.top_k(evaluate.sum_distances(sources.valid(points).where(f"id % 6 in ({a})"), query), K) for a in parts)
+    return tuple(evaluate.top_k(evaluate.sum_distances(sources.valid(points).where(f"id % 6 in ({a})"), query), K) for a in PARTS)
 
 
 def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,22 +253,130 @@ def topk_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.difference(*_lists(spark, sf_dir)))
 
 
-#: Overlapping parts that cover all ids.
-WHOLE = ("0, 1, 2, 3", "2, 3, 4, 5")
+def neighbors_without_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = _lists(spark, sf_dir)
+    return _rounded(evaluate.without_duplicates(first.unionByName(second)))
+
+
+def gnn_all_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all customers as query points, without pruning."""
+    return _rounded(engine.brute_force(sources.orders_points(spark, sf_dir), sources.customer_queries(spark, sf_dir, None), K))
 
 
-def merge_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.merge(*_lists(spark, sf_dir, WHOLE), K))
+def gnn_all_customers_pruned(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    points, query = sources.orders_points(spark, sf_dir), sources.customer_queries(spark, sf_dir, None)
+    return _rounded(engine.group_knn(points, query, K, n=N, capacity=CAPACITY, **options))
 
 
-def topk_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.difference(*_lists(spark, sf_dir, WHOLE)))
+def _config(spark: SparkSession, sf_dir: str, points: DataFrame | None = None, **options) -> engine.Query:
+    own, query = _sets(spark, sf_dir)
+    return engine.Query(own if points is None else points, query, K, n=N, capacity=CAPACITY, **options)
 
 
-def gnn_all_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With all customers as query points."""
-    points, query = sources.orders_points(spark, sf_dir), sources.customer_queries(spark, sf_dir, None)
-    return _rounded(evaluate.top_k(evaluate.sum_distances_arrow(sources.valid(points), query), K))
+def gnn_stored_summary_and_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a summary and a tree that were written and read again."""
+    points, query = _sets(spark, sf_dir)
+    folder = store.new_folder(spark, "stored")
+    sinks.write_summary(summary.geometric_median(query), f"{folder}/summary.parquet")
+    sinks.write_leaves(quadtree.leaf_table(points, _tree(points), DEPTH), f"{folder}/leaves.parquet")
+    about, leaves = spark.read.parquet(f"{folder}/summary.parquet"), sources.read_leaves(spark, f"{folder}/leaves.parquet")
+    return _rounded(_config(spark, sf_dir, partitioning="qt", about=about, leaves=leaves).answer())
+
+
+def gnn_prepartitioned(spark: SparkSession, sf_dir: str, partitioning: str) -> DataFrame:
+    """Over points that were stored with their cell."""
+    points, folder, leaves = sources.orders_points(spark, sf_dir), store.new_folder(spark, "points"), None
+    if partitioning == "gd":
+        sinks.write_prepartitioned(points, folder, n=N)
+    else:
+        tree = _tree(points)
+        leaves = quadtree.leaf_table(points, tree, DEPTH)
+        sinks.write_prepartitioned(points, folder, tree=tree)
+    return _rounded(_config(spark, sf_dir, spark.read.parquet(folder), partitioning=partitioning, leaves=leaves, prepartitioned=True).answer())
+
+
+def prepartitioned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store.new_folder(spark, "points")
+    sinks.write_prepartitioned(sources.orders_points(spark, sf_dir), folder, n=N)
+    return spark.read.parquet(folder).select("id", "cell")
+
+
+def _neighbor_file(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
+    return lines.select(F.col("f")[0].cast("long").alias("id"), F.round(F.col("f")[1].cast("double"), 6).alias("dist"))
+
+
+def neighbors_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest points of the seed cells, written as lines and read again."""
+    folder = store.new_folder(spark, "run")
+    sinks.write_run(_config(spark, sf_dir).run(), folder)
+    return _neighbor_file(spark, f"{folder}/neighbors_first")
+
+
+def neighbors_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer, written over an earlier one and read again."""
+    folder = store.new_folder(spark, "run")
+    run = _config(spark, sf_dir).run()
+    for _ in range(2):
+        sinks.write_run(run, folder)
+    return _neighbor_file(spark, f"{folder}/neighbors")
+
+
+def seed_cells_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store.new_folder(spark, "run")
+    sinks.write_run(_config(spark, sf_dir).run(), folder)
+    return spark.read.text(f"{folder}/seeds").select(F.col("value").alias("cell"))
+
+
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store.new_folder(spark, "summary")
+    sinks.write_summary(summary.geometric_median(sources.customer_queries(spark, sf_dir)), folder, text=True)
+    found = sources.read_summary(spark, folder)
+    return _rounded(found, *found.columns)
+
+
+def leaves_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, folder = sources.orders_points(spark, sf_dir), store.new_folder(spark, "leaves")
+    sinks.write_leaves(quadtree.leaf_table(points, _tree(points), DEPTH), folder)
+    return sources.read_leaves(spark, folder).select("cell", F.col("depth").cast("long").alias("depth"), "n")
+
+
+def shape_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, folder = sources.orders_points(spark, sf_dir), store.new_folder(spark, "shape")
+    sinks.write_shape(quadtree.leaves_of(_tree(points), DEPTH), folder)
+    return spark.read.text(folder).select(F.col("value").alias("shape"))
+
+
+COUNTERS = [f"{k}_{c}" for k in ("cells", "seeds", "survivors") for c in ("cells", "points")] + [f"h{k}_{r}" for k in (1, 2, 3) for r in ("success", "fail")] + ["num_cells", "dpc_count"]
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a run that don't depend on the order in which points are read."""
+    found = _config(spark, sf_dir).metrics()
+    return found.select(*[F.col(n).cast("long").alias(n) for n in COUNTERS])
+
+
+def leftmost_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.order_by_x(sources.orders_points(spark, sf_dir)).limit(100).select("id", "x")
+
+
+def topmost_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.order_by_y(sources.orders_points(spark, sf_dir), descending=True).limit(100).select("id", "y")
+
+
+def sample_one_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample with one row for each id, of points that all occur twice."""
+    points = sources.orders_points(spark, sf_dir)
+    return sources.one_each(sources.sample(points.unionByName(points.withColumn("x", F.col("x") / 2)), 10, seed=None))
+
+
+def running_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list that is kept over batches of points, one of them added twice."""
+    points, query = _sets(spark, sf_dir)
+    running = RunningNeighbors(spark, query, K, store.new_folder(spark, "list"))
+    for batch in (0, 1, 1, 2):
+        running.add(points.where(F.pmod("id", F.lit(3)) == batch), batch)
+    return _rounded(running.value())
 
 
 def sumdx_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,11 +403,6 @@ def sample_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = sources.orders_points(spark, sf_dir).where("id % 50 = 0").select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("value"))
-    return sinks.sorted_lines(lines)
-
-
-def sorted_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sorted_lines(sources.orders_points(spark, sf_dir).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("value")))
 
 
@@ -350,10 +458,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_deterministic": sample_deterministic,
     "sorted_lines": sorted_lines,
     "set_counts": set_counts,
-    "merge_topk_whole": merge_topk_whole,
-    "topk_difference_whole": topk_difference_whole,
+    "neighbors_without_duplicates": neighbors_without_duplicates,
     "gnn_all_customers": gnn_all_customers,
-    "sorted_lines_whole": sorted_lines_whole,
+    "gnn_all_customers_gd": gnn_all_customers_pruned,
+    "gnn_all_customers_qt": partial(gnn_all_customers_pruned, partitioning="qt", method="ps"),
+    "gnn_stored_summary_and_tree": gnn_stored_summary_and_tree,
+    "gnn_prepartitioned_gd": partial(gnn_prepartitioned, partitioning="gd"),
+    "gnn_prepartitioned_qt": partial(gnn_prepartitioned, partitioning="qt"),
+    "prepartitioned_points": prepartitioned_points,
+    "neighbors_first": neighbors_first,
+    "neighbors_file": neighbors_file,
+    "seed_cells_file": seed_cells_file,
+    "summary_file": summary_file,
+    "leaves_file": leaves_file,
+    "shape_file": shape_file,
+    "run_metrics": run_metrics,
+    "leftmost_points": leftmost_points,
+    "topmost_points": topmost_points,
+    "sample_one_each": sample_one_each,
+    "running_topk": running_topk,
 }
 
 _DM = "m AS (SELECT max(dist) AS dm FROM top)"
@@ -368,6 +491,12 @@ e AS MATERIALIZED (SELECT h.cell, n, CASE WHEN cell = home THEN -1 ELSE greatest
     + MIND_C
     + " - 0.5 * w) / (0.25 * w))) END AS m FROM h, s, home)"
 )
+#: The seed cells z of a run with K neighbours over the grid, the first list n1, and the other cells with their bounds.
+_RUN = (
+    T, Q, MEDIAN, V, DIST, GRID, GRID_CELLS, _DISK_GRID, "f AS (SELECT m, sum(sum(n)) OVER (ORDER BY m) AS total FROM e GROUP BY m)",
+    f"z AS MATERIALIZED (SELECT cell, n FROM e WHERE m <= (SELECT min(m) FROM f WHERE total >= {K}))",
+    f"n1 AS MATERIALIZED (SELECT d.id, d.dist FROM d JOIN g USING (id) JOIN z USING (cell) ORDER BY dist, id LIMIT {K})", "m AS (SELECT max(dist) AS dm FROM n1)",
+)
 _LEAF_LIST = "SELECT k.cell, length(k.cell)::BIGINT AS depth, coalesce(n, 0)::BIGINT AS n FROM k LEFT JOIN (SELECT cell, count(*) AS n FROM u GROUP BY cell) x ON k.cell = x.cell"
 _HALF = "(SELECT id, dist FROM d WHERE id % 6 IN ({}) ORDER BY dist, id LIMIT {})"
 
@@ -416,9 +545,10 @@ ORACLES: dict[str, str] = {name: ANSWER for name in QUERIES if name.startswith("
           FROM d JOIN (SELECT id, CAST(floor(y / 0.25::DOUBLE) AS BIGINT) * 4 + CAST(floor(x / 0.25::DOUBLE) AS BIGINT) AS cell FROM v) USING (id)) WHERE k <= 3""",
     ),
     "merge_topk": _with(
-        T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM (SELECT DISTINCT * FROM ({_HALF.format('0, 1, 2', K)} UNION ALL {_HALF.format('2, 3, 4', K)})) ORDER BY dist, id LIMIT {K}"
+        T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM (SELECT DISTINCT * FROM ({_HALF.format(PARTS[0], K)} UNION ALL {_HALF.format(PARTS[1], K)})) ORDER BY dist, id LIMIT {K}"
     ),
-    "topk_difference": _with(T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM {_HALF.format('0, 1, 2', K)} WHERE id NOT IN (SELECT id FROM {_HALF.format('2, 3, 4', K)})"),
+    "topk_difference": _with(T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM {_HALF.format(PARTS[0], K)} WHERE id NOT IN (SELECT id FROM {_HALF.format(PARTS[1], K)})"),
+    "neighbors_without_duplicates": _with(T, Q, V, DIST, select=f"SELECT DISTINCT id, round(dist, 6) AS dist FROM ({_HALF.format(PARTS[0], K)} UNION ALL {_HALF.format(PARTS[1], K)})"),
     "sumdx_bound": _with(T, Q, V, select="SELECT id, round(sum(abs(qx - x)), 9) AS sumdx FROM v, q GROUP BY id"),
     "mindist_point_rect": _with(
         T,
@@ -430,15 +560,28 @@ ORACLES: dict[str, str] = {name: ANSWER for name in QUERIES if name.startswith("
           x0 <= 0.59::DOUBLE AND x0 + ds >= 0.41::DOUBLE AND y0 <= 0.59::DOUBLE AND y0 + ds >= 0.41::DOUBLE AS meet FROM h""",
     ),
     "sample_deterministic": _with(T, select="SELECT id FROM t WHERE id % 100 < 10"),
-    "sorted_lines": _with(T, select="SELECT 'p' || id AS value FROM t WHERE id % 50 = 0 ORDER BY value"),
+    "sorted_lines": _with(T, select="SELECT 'p' || id AS value FROM t ORDER BY value"),
     "set_counts": "\nUNION ALL ".join(
         f"(WITH {prelude} SELECT '{name}' AS name, '{kind}' AS kind, count(*) FILTER ({'' if kind == 'valid' else 'NOT '}(x >= 0 AND x < 1 AND y >= 0 AND y < 1)) AS n FROM t)"
         for name, prelude in (("orders", T), ("events", E)) for kind in ("valid", "rejected")
     ),
-    "merge_topk_whole": _with(
-        T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM (SELECT DISTINCT * FROM ({_HALF.format(WHOLE[0], K)} UNION ALL {_HALF.format(WHOLE[1], K)})) ORDER BY dist, id LIMIT {K}"
+    **{f"gnn_all_customers{x}": _with(T, Q.replace(" WHERE c_custkey <= 200", ""), V, DIST, TOP, select="SELECT id, round(dist, 6) AS dist FROM top") for x in ("", "_gd", "_qt")},
+    "prepartitioned_points": _with(T, V, GRID, select="SELECT id, cell FROM g"),
+    "neighbors_first": _with(*_RUN, select="SELECT id, round(dist, 6) AS dist FROM n1"),
+    "neighbors_file": ANSWER,
+    "running_topk": ANSWER,
+    "seed_cells_file": _with(*_RUN, select="SELECT cell::VARCHAR AS cell FROM z"),
+    "run_metrics": _with(
+        *_RUN, _H3, f"j AS MATERIALIZED (SELECT cell, n, {MIND_C} * nq < dm + sc AS p1, {MIND_BOX} * nq < dm AS p2, bound < dm AS p3 FROM o, s, m WHERE cell NOT IN (SELECT cell FROM z))",
+        "k AS MATERIALIZED (SELECT cell, n FROM j WHERE p1 AND p2 AND p3)",
+        select="""SELECT (SELECT count(*) FROM h) AS cells_cells, (SELECT sum(n)::BIGINT FROM h) AS cells_points, (SELECT count(*) FROM z) AS seeds_cells, (SELECT sum(n)::BIGINT FROM z) AS seeds_points,
+          (SELECT count(*) FROM k) AS survivors_cells, (SELECT coalesce(sum(n), 0)::BIGINT FROM k) AS survivors_points, count(*) FILTER (NOT p1) AS h1_success, count(*) FILTER (p1) AS h1_fail,
+          count(*) FILTER (p1 AND NOT p2) AS h2_success, count(*) FILTER (p1 AND p2) AS h2_fail, count(*) FILTER (p1 AND p2 AND NOT p3) AS h3_success, count(*) FILTER (p1 AND p2 AND p3) AS h3_fail,
+          (SELECT count(*) FROM k) AS num_cells, (SELECT count(*) FROM g JOIN k USING (cell), s, m WHERE NOT (sqrt((x - xc) ** 2 + (y - yc) ** 2) * nq < dm + sc
+            AND x BETWEEN xmin - dm / nq AND xmax + dm / nq AND y BETWEEN ymin - dm / nq AND ymax + dm / nq)) AS dpc_count FROM j""",
     ),
-    "topk_difference_whole": _with(T, Q, V, DIST, select=f"SELECT id, round(dist, 6) AS dist FROM {_HALF.format(WHOLE[0], K)} WHERE id NOT IN (SELECT id FROM {_HALF.format(WHOLE[1], K)})"),
-    "gnn_all_customers": _with(T, Q.replace(" WHERE c_custkey <= 200", ""), V, DIST, TOP, select="SELECT id, round(dist, 6) AS dist FROM top"),
-    "sorted_lines_whole": _with(T, select="SELECT 'p' || id AS value FROM t ORDER BY value"),
+    "leftmost_points": _with(T, select="SELECT id, x FROM t ORDER BY x, id LIMIT 100"),
+    "topmost_points": _with(T, select="SELECT id, y FROM t ORDER BY y DESC, id LIMIT 100"),
+    "sample_one_each": _with(T, select="SELECT id, x / 2 AS x, y FROM t WHERE id % 100 < 10"),
 }
+ORACLES |= {"summary_file": ORACLES["query_geometric_median"], "leaves_file": ORACLES["quadtree_leaves"], "shape_file": ORACLES["quadtree_shape"]}

@@ -73,6 +73,12 @@ def sample(points: DataFrame, rate: int, seed: int | None = 0) -> DataFrame:
     return points.where(F.pmod(F.col("id"), F.lit(100)) < rate) if seed is None else points.sample(False, rate / 100, seed)
 
 
+def one_each(points: DataFrame) -> DataFrame:
+    """One row for each id: of several the one with the least coordinates."""
+    least = points.groupBy("id").agg(F.min(F.struct("x", "y")).alias("at"))
+    return least.select("id", "at.x", "at.y")
+
+
 def _days(column: str) -> Column:
     return F.datediff(F.col(column), F.lit("1994-12-31").cast("date"))
 

@@ -51,6 +51,13 @@ def sorted_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_prepartitioned(points: DataFrame, path: str, n: int | None = None, tree: DataFrame | None = None) -> None:
-    """Points with their cell, clustered by it, so that a filter on cells or coordinates skips row groups."""
+    """Points with their cell, clustered by it, so that a filter on cells or coordinates skips row groups. tree: the split nodes of a quadtree."""
     placed = grid.assign(points, n) if n else quadtree.assign(points, tree)
     placed.repartitionByRange("cell").sortWithinPartitions("cell", "x").write.mode("overwrite").parquet(path)
+
+
+def write_run(run, path: str) -> None:
+    """The lists and cells of a finished run: neighbours among the seeds, the answer, the seed cells."""
+    write_neighbors(run.frames["first"], f"{path}/neighbors_first")
+    write_neighbors(run.frames["answer"], f"{path}/neighbors")
+    write_cells(run.frames["seeds"], f"{path}/seeds")

@@ -18,6 +18,14 @@ def test_commands(spark, tmp_path):
     assert len(spark.read.text(f"{tmp_path}/out/summary.txt").first()[0].split("\t")) == 7
     main(["tree", f"points={tmp_path}/t.txt", f"out={tmp_path}/out", "samplerate=100", "capacity=20", "type=2"], spark)
     assert spark.read.text(f"{tmp_path}/out/shape").first()[0].startswith("1")
+    main(["tree", f"points={tmp_path}/t.txt", f"out={tmp_path}/out2", "samplerate=100", "capacity=20", "distinct=true"], spark)
+    main(["partition", f"points={tmp_path}/t.txt", f"out={tmp_path}/qt.parquet", f"tree={tmp_path}/out2/leaves.parquet"], spark)
+    main(["partition", f"points={tmp_path}/t.txt", f"out={tmp_path}/gd.parquet", "n=10"], spark)
+    again = [["partitioning=qt", f"tree={tmp_path}/out2/leaves.parquet", f"points={tmp_path}/t.txt"], ["partitioning=qt", f"tree={tmp_path}/out2/leaves.parquet", f"points={tmp_path}/qt.parquet", "prepartitioned=true"]]
+    for more in [*again, ["n=10", f"points={tmp_path}/gd.parquet", "prepartitioned=true", f"summary={tmp_path}/out/summary.parquet"], ["n=10", f"points={tmp_path}/t.txt", f"summary={tmp_path}/out/summary.txt"]]:
+        main(["knn", *where, "k=3", *more], spark)
+        assert [r["value"].split("\t") for r in spark.read.text(f"{tmp_path}/out/neighbors").collect()] == lines
+    assert spark.read.text(f"{tmp_path}/out/neighbors_first").count() == 3
     for bad in (["knn", *where, f"points={tmp_path}/t.txt", "colour=red"], ["tree", f"points={tmp_path}/t.txt", f"out={tmp_path}/o", "type=4"], ["knn", *where, f"points={tmp_path}/t.txt", "heuristics=perhaps"]):
         with pytest.raises(ValueError):
             main(bad, spark)

@@ -4,13 +4,15 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfold.functions import geometry
-from nearfold.operators import evaluate, grid, prune, quadtree, seeds, summary
+from nearfold.operators import evaluate, grid, prune, quadtree, queryset, seeds, summary
 from nearfold.plans import engine
 from nearfold.plans import queries as plans
 from nearfold.sources import points as sources
@@ -305,8 +307,88 @@ def test_stream(spark, tmp_path):
 def test_whole_queries_leave_no_ids_out(spark):
     data = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{data}/orders.parquet")
-    assert [r["value"] for r in plans.QUERIES["sorted_lines_whole"](spark, data).collect()] == sorted(f"p{r[0]}" for r in orders.select("o_orderkey").collect())
-    rows = [[tuple(r) for r in plans.QUERIES[name](spark, data).collect()] for name in ("merge_topk_whole", "gnn_bruteforce")]
+    assert [r["value"] for r in plans.QUERIES["sorted_lines"](spark, data).collect()] == sorted(f"p{r[0]}" for r in orders.select("o_orderkey").collect())
+    rows = [[tuple(r) for r in plans.QUERIES[name](spark, data).collect()] for name in ("merge_topk", "gnn_bruteforce")]
     assert sorted(rows[0]) == sorted(rows[1]) and {i % 6 for i, _ in rows[0]} - set(range(5))
     larger = "/root/testdata/sf0.01"
     assert sources.customer_queries(spark, larger, None).count() == spark.read.parquet(f"{larger}/customer.parquet").count() > 1000
+
+
+def test_a_large_query_set(spark):
+    """600,000 query points, in one chunk and in several, against numpy."""
+    rng = np.random.default_rng(4)
+    q = rng.random((600_000, 2)) * 0.2 + 0.4
+    q[100_000:300_000] = q[0]  # a third of all at one place
+    query = spark.createDataFrame(pa.table({"qid": np.arange(len(q)), "qx": q[:, 0], "qy": q[:, 1]}))
+    at = rng.random((40, 2))
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(at)]
+    true = sorted((float(np.sqrt(((q - p) ** 2).sum(axis=1)).sum()), i) for i, p in enumerate(at))
+    for chunk in (queryset.CHUNK, 50_000):
+        held = queryset.load(query, chunk)
+        assert held.n == 600_000 and (len(held.chunks) > 5) == (chunk == 50_000)
+        for method, heuristics in (("bf", True), ("ps", False)):
+            config = engine.Query(points(spark, rows), query, 5, "gd", method, n=4, limit=3, heuristics=heuristics)
+            config._held = held
+            found = [(r["dist"], r["id"]) for r in config.answer().collect()]
+            assert [i for _, i in found] == [i for _, i in true[:5]] and [d for d, _ in found] == pytest.approx([d for d, _ in true[:5]], rel=1e-9)
+            about = config.run().summary
+            assert (about.xmin, about.ymax) == (q[:, 0].min(), q[:, 1].max())
+    assert summary.median_query_point(query.limit(7)).first()["qid"] == sorted(zip(q[:7, 0], range(7)))[3][1]
+
+
+def test_stored_results_are_used_again(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, rng.random(), rng.random() ** 2) for i in range(300)]
+    query = [(0.3, 0.2), (0.35, 0.25), (0.4, 0.1)]
+    p, q = points(spark, rows), queries(spark, query)
+    tree = quadtree.internal_nodes(p, 15, "capacity", 6)
+    leaves = quadtree.leaf_table(p, tree, 6)
+    about = summary.geometric_median(q)
+    sinks.write_prepartitioned(p, str(tmp_path / "gd"), n=6)
+    sinks.write_prepartitioned(p, str(tmp_path / "qt"), tree=tree)
+    gd, qt = (spark.read.parquet(str(tmp_path / k)) for k in ("gd", "qt"))
+    for frame, options in ((p, {"partitioning": "qt", "leaves": leaves}), (gd, {"n": 6, "prepartitioned": True}), (qt, {"partitioning": "qt", "leaves": leaves, "prepartitioned": True})):
+        for seed in engine.SEEDS:
+            same(engine.Query(frame, q, 4, seed=seed, about=about, **options).answer(), nearest(rows, query, 4))
+    plan = engine.Query(gd, q, 4, n=6, prepartitioned=True).within(spark.createDataFrame([(7, 1 / 6, 1 / 6, 1 / 6, 1)], "cell long, x0 double, y0 double, ds double, n long"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(cell,7)" in text.replace(" ", "") and "GreaterThanOrEqual(x," in text
+    for bad in ({"prepartitioned": True}, {"partitioning": "qt", "prepartitioned": True}):
+        with pytest.raises(ValueError):
+            engine.Query(p if "partitioning" not in bad else qt, q, 4, **bad)
+
+
+def test_points_are_not_shuffled(spark):
+    rng = random.Random(13)
+    p, q = points(spark, [(i, rng.random(), rng.random()) for i in range(500)]), queries(spark, [(0.5, 0.5), (0.4, 0.6)])
+    plan = engine.brute_force(p, q, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow") :]
+    context = spark.sparkContext
+    for partitioning, most in (("gd", 20), ("qt", 30)):
+        context.setJobGroup(f"jobs {partitioning}", "")
+        engine.Query(p, q, 3, partitioning, n=10, capacity=50).run()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert len(context.statusTracker().getJobIdsForGroup(f"jobs {partitioning}")) <= most
+
+
+def test_sums_are_given_up_early():
+    rng = np.random.default_rng(5)
+    chunk = queryset.Chunk(rng.random(500), rng.random(500), np.ones(500))
+    x, y = rng.random(200), rng.random(200)
+    places, every = queryset.sums(x, y, [chunk])
+    assert len(places) == 200 and every == pytest.approx([sum(math.hypot(a - c, b - d) for c, d in zip(chunk.x, chunk.y)) for a, b in zip(x, y)])
+    bound = float(np.sort(every)[20])
+    places, few = queryset.sums(x, y, [chunk], bound)
+    assert set(places) == set(np.flatnonzero(every <= bound)) and few == pytest.approx(every[places])
+
+
+def test_run_metrics(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.random(), rng.random()) for i in range(400)]
+    config = engine.Query(points(spark, rows), queries(spark, [(0.5, 0.5), (0.52, 0.48)]), 3, method="ps", n=10)
+    row = config.metrics().first().asDict()
+    assert row["dpc_count"] + row["sumdx"] == row["survivors_points"] and row["sumdx"] == row["sumdx_success"] + row["sumdist"] + row["skipped_tpoints"]
+    assert all(row[f"{step}_millis"] >= 0 for step in ("summary", "partition", "seeds", "first", "pruning", "second"))
+    assert config.run() is config.run()
