@@ -2,36 +2,34 @@
 
 The documents of a source, in a seeded order, form one stream of words that is cut into blocks of
 ``block_words``. The mix is a house of seats, one block each; seats go to sources by highest quotient
-weight / (2 k + 1), and a source that has reached its cap takes no more. Divisor methods are house monotone, so
-consecutive runs of seats give each output shard an integer quota of every source. A source whose quota
-exceeds its stream is passed over whole as often as it fits; of the rest, blocks are selected by a seeded
-full-cycle permutation, so exactly the quota is taken, and a selected block goes to the shard whose quota it fills. A source smaller than a
-block has no seats: it is passed over whole as often as its target holds it, then gives the documents whose middle the rest reaches.
-
-Only per-source totals (checked against ``MOST_SOURCES``) reach the driver. Positions in a stream are
-distributed running totals; no source meets in one task.
-
-Cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; ties in
-the seeded order go by doc_id, then text checksum; an empty table gives no rows; extra columns pass through ``mix``.
+target / (2 k + 1), where targets share the mix by weight up to each source's cap. Divisor methods are house monotone, so
+consecutive runs of seats give each output shard an integer quota of every source. The quotas of a source, one after the other, are a line
+that passes over its stream again and again: shard 0 gets the first blocks of the line, the last shard the last ones, and the
+line ends within the last pass. So a pass selects blocks in the seeded order, and at most one document is cut at the end of each quota.
+Sources of fewer than ``FINE`` blocks have a house of their own, with blocks of one word, so they too come near their targets.
+
+Only per-source totals (checked against ``MOST_SOURCES``) reach the driver. Positions in a stream are distributed running totals over
+narrow rows; from them come the few documents at which a quota ends, a row for each source and shard, and every other document is
+whole in a quota or out of it by its place in the seeded order alone. So texts are never shuffled, and no source meets in one task.
+
+Cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; rows that share their place in the order (repeated
+rows do) share a cut between them in proportion, rounded down; an empty table gives no rows; extra columns pass through ``mix``.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import random
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import group_key, running_totals
+from nearfold.llm.common import group_key, keep, running_totals, small
 from nearfold.llm.sharding import seeded
 
 MOST_SOURCES = 100_000
-BLOCK_WORDS = 64
+BLOCK_WORDS, FINE = 64, 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,6 +38,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def checksum(text: Column) -> Column:
+    """The CRC-32 of a text, null taken as empty."""
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def water_fill(weights: Sequence[float], caps: Sequence[float], total: float) -> list[float]:
     """Shares of ``total`` by weight, none above its cap; what a cap cuts off is shared again by weight."""
     shares, open_ = [0.0] * len(weights), list(range(len(weights)))
@@ -86,126 +89,122 @@ def sainte_lague(weights: Sequence[float], caps: Sequence[int], house: int) -> l
     return given
 
 
-def plan(sizes: dict[str | None, int], pattern: Sequence[float], share: float, most: float, block_words: int, n_shards: int, seed: int) -> list[dict]:
-    """For each source: its target, quota of blocks by shard, whole passes, blocks in the partial pass, and its permutation."""
+def plan(sizes: dict[str | None, int], pattern: Sequence[float], share: float, most: float, block_words: int, n_shards: int) -> list[dict]:
+    """For each source: its target and, for each shard, how many words of its line lie before the shard's end."""
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weights = [float(pattern[k % len(pattern)]) for k in range(len(names))]
     caps = [most * sizes[s] for s in names]
     targets = water_fill(weights, caps, share * sum(sizes.values()))
-    # A source smaller than a block is taken by whole documents, outside the house.
-    tiny = [min(t, c) if sizes[s] < block_words else 0 for s, t, c in zip(names, targets, caps, strict=True)]
-    house = round((share * sum(sizes.values()) - sum(tiny)) / block_words)
-    limits = [round(c / block_words) if sizes[s] >= block_words else 0 for s, c in zip(names, caps, strict=True)]
-    ends = [house * k // n_shards for k in range(n_shards + 1)]
-    grown = [sainte_lague(weights, limits, h) for h in ends]
-    rows = []
-    for k, (name, target) in enumerate(zip(names, targets, strict=True)):
-        size, quota = sizes[name], grown[-1][k]
-        blocks = size // block_words
-        if blocks > 3_000_000_000:
-            raise ValueError("more than 3e9 blocks in a source; raise block_words")
-        passes = min(quota * block_words // size, int(most)) if size else 0
-        if 0 < size < block_words:
-            passes = int(tiny[k] / size + 1e-9)
-        chosen = min(blocks, round((quota * block_words - passes * size) / block_words))
-        random_ = random.Random(f"{seed}|{name!r}")
-        step, turn = 1, random_.randrange(max(1, blocks))
-        if blocks > 2:
-            step = random_.randrange(1, blocks)
-            while math.gcd(step, blocks) > 1:
-                step = step % (blocks - 1) + 1
-        rows.append({
-            "__s": "n" if name is None else f"v{name}", "source_size": size, "target": target, "__blocks": blocks, "passes": passes, "__chosen": chosen,
-            "__step": step, "__turn": turn, "__quotas": [grown[j + 1][k] - grown[j][k] for j in range(n_shards)],
-            "__words": max(0.0, tiny[k] - passes * size), "__shard": random_.randrange(n_shards),
-        })
-    return rows
-
-
-PLAN = "__s string, source_size long, target double, __blocks long, passes long, __chosen long, __step long, __turn long, __quotas array<long>, __words double, __shard int"
+    ends: list[list[int]] = [[0] * n_shards for _ in names]
+    for unit, own in ((block_words, [k for k, s in enumerate(names) if sizes[s] >= FINE * block_words]), (1, [k for k, s in enumerate(names) if sizes[s] < FINE * block_words])):
+        house = round(sum(targets[k] for k in own) / unit)
+        limits = [int(caps[k]) // unit for k in own]
+        for j in range(n_shards):
+            for k, seats in zip(own, sainte_lague([targets[k] for k in own], limits, house * (j + 1) // n_shards), strict=True):
+                ends[k][j] = seats * unit
+    return [
+        {
+            "__s": "n" if name is None else f"v{name}", "source_size": sizes[name], "target": target,
+            "ends": [{"i": j, "pass": e // sizes[name] if sizes[name] else 0, "at": e % sizes[name] if sizes[name] else 0} for j, e in enumerate(end)],
+        }
+        for name, target, end in zip(names, targets, ends, strict=True)
+    ]
+
+
+PLAN = "__s string, source_size long, target double, ends array<struct<i: int, pass: long, at: long>>"
 #: The columns that mix() adds; columns of these names in its input are replaced.
-ADDED = ("source_size", "target", "passes", "spans", "taken")
+ADDED = ("source_size", "target", "spans", "taken")
 
 
-def mix(rows: DataFrame, size: str = "size", pattern: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, n_shards: int = 1, seed: int = 11, ties: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """rows (with source and a size in words) plus source_size, target, passes, spans, taken.
+def _cuts(narrow: DataFrame, pattern: Sequence[float], share: float, most: float, block_words: int, n_shards: int) -> DataFrame:
+    """(__s, source_size, target, __cuts): where each shard's part of a source's line ends. narrow: source, __s, __h, __n.
 
-    spans: the selected parts in the partial pass, as (first, stop, shard) in words of the document;
-    taken: passes * size + the words in spans.
-    """
-    spark = rows.sparkSession
-    rows = rows.drop(*ADDED)
-    names = rows.columns
-    keyed = rows.withColumn("__s", group_key(F.col("source"))).withColumn("__h", seeded(seed, *[F.col(t) for t in ties]))
-    totals = rows.groupBy("source").agg(F.sum(size).alias("n")).limit(MOST_SOURCES + 1).collect()
+    A cut: the pass, the place in the seeded order, the words of that place before the cut, and all its words.
+    """
+    spark = narrow.sparkSession
+    totals = narrow.groupBy("source").agg(F.sum("__n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    planned = plan({r["source"]: r["n"] or 0 for r in totals}, pattern, share, most, block_words, n_shards, seed)
-    placed = running_totals(keyed, F.col("__s"), [F.col("__h"), *[F.col(t) for t in ties]], F.col(size), "__at")
-    planned_df = spark.createDataFrame(planned, PLAN)
-    joined = placed.join(F.broadcast(planned_df), "__s")  # at most MOST_SOURCES rows, checked above
-    spans = F.expr(
-        f"""
-        transform(
-          filter(
-            transform(
-              if({size} > 0 and __chosen > 0, sequence(__at_before div {block_words}, (__at_before + {size} - 1) div {block_words}), array()),
-              b -> struct(greatest(b * {block_words} - __at_before, 0L) as first, least((b + 1) * {block_words} - __at_before, {size}) as stop,
-                          b < __blocks as whole, if(__blocks > 0, (b * __step + __turn) % __blocks, 0L) as place)),
-            x -> x.whole and x.place < __chosen),
-          x -> struct(x.first as first, x.stop as stop,
-            cast(size(filter(sequence(0, {n_shards} - 1), j -> aggregate(slice(__quotas, 1, j + 1), 0L, (a, q) -> a + q) <= x.place)) as int) as shard))
-        """
+    planned = spark.createDataFrame(plan({r["source"]: r["n"] or 0 for r in totals}, pattern, share, most, block_words, n_shards), PLAN)
+    ends = planned.select("__s", F.explode("ends").alias("e")).select("__s", "e.*")
+    placed = running_totals(narrow.where("__n > 0").select("__s", "__h", "__n"), F.col("__s"), [F.col("__h")], F.col("__n"), "__at")
+    inside = F.expr("filter(ends, e -> e.at > 0 and __at_before <= e.at and e.at < __at_before + __n)")
+    hit = placed.join(F.broadcast(planned), "__s").select("__s", "__h", F.explode(inside).alias("e")).select("__s", "__h", F.col("e.at").alias("at")).distinct()  # planned: checked above
+    hit = keep(hit)  # a row for each source and shard at most
+    words = placed.join(small(hit.select("__s", "__h").distinct()), ["__s", "__h"], "left_semi").groupBy("__s", "__h").agg(F.min("__at_before").alias("start"), F.sum("__n").alias("words"))
+    known = ends.join(hit.join(words, ["__s", "__h"]), ["__s", "at"], "left")
+    one = F.struct(
+        "i", "pass", F.coalesce("__h", F.lit("")).alias("h"), F.coalesce(F.col("at") - F.col("start"), F.lit(0).cast("long")).alias("before"), F.coalesce("words", F.lit(1).cast("long")).alias("words")
     )
-    begun = (F.col(size) > 0) & (2 * F.col("__at_before") + F.col(size) <= 2 * F.col("__words") + 1e-6)
-    spans = F.when(begun, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col(size).cast("long").alias("stop"), F.col("__shard").alias("shard")))).otherwise(spans)
-    taken = F.col("passes") * F.col(size) + F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["first"])
-    return joined.withColumn("spans", spans).withColumn("taken", taken).select(*names, "source_size", "target", "passes", "spans", "taken")
+    cuts = known.groupBy("__s").agg(F.array_sort(F.collect_list(one)).alias("__cuts"))
+    return keep(planned.drop("ends").join(cuts, "__s"))
+
 
+def _spans(size: Column, passes: int, n_shards: int) -> Column:
+    """The parts of a document that the cuts of its source take: (pass, first, stop, shard), in words."""
 
-def words_of(text: str) -> Iterator[re.Match]:
-    return re.finditer(r"[^\x20\x09-\x0D]+", text)
+    def before(cut: Column, turn: Column) -> Column:
+        within = F.floor(cut["before"].cast("decimal(19,0)") * size.cast("decimal(19,0)") / cut["words"].cast("decimal(19,0)")).cast("long")
+        out = F.when((turn < cut["pass"]) | ((turn == cut["pass"]) & (F.col("__h") < cut["h"])), size)
+        return out.when((turn == cut["pass"]) & (F.col("__h") == cut["h"]), within).otherwise(F.lit(0).cast("long"))
 
+    def part(turn: Column, j: Column) -> Column:
+        first = F.when(j == 0, F.lit(0).cast("long")).otherwise(before(F.get("__cuts", j - 1), turn))
+        return F.struct(turn.alias("pass"), first.alias("first"), before(F.get("__cuts", j), turn).alias("stop"), j.alias("shard"))
 
-def cut_words(text: str, spans: Sequence[tuple[int, int]]) -> str:
-    """The words in these spans of the text, each run with the white space that stood within it, runs joined by a line break."""
-    places = [m.span() for m in words_of(text)]
-    runs: list[list[int]] = []
-    for first, stop in sorted(spans):
-        if runs and runs[-1][1] == first:
-            runs[-1][1] = stop
-        else:
-            runs.append([first, stop])
-    return "\n".join(text[places[first][0] : places[stop - 1][1]] for first, stop in runs)
+    shards = F.sequence(F.lit(0), F.lit(n_shards - 1))
+    turns = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: F.filter(F.transform(shards, lambda j: part(p, j)), lambda x: x["first"] < x["stop"]))
+    return F.flatten(turns)
+
+
+def _keyed(rows: DataFrame, ties: Sequence[Column], seed: int) -> DataFrame:
+    return rows.withColumn("__s", group_key(F.col("source"))).withColumn("__h", seeded(seed, *ties))
+
+
+def mix(rows: DataFrame, size: str = "size", pattern: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, n_shards: int = 1, seed: int = 11, ties: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """rows (with source and a size in words) plus source_size, target, spans, taken. rows are read several times.
+
+    spans: the parts of the document in the mix as (pass, first, stop, shard) in words; taken: the words in them.
+    """
+    rows = rows.drop(*ADDED)
+    names = rows.columns
+    keyed = _keyed(rows, [F.col(t) for t in ties], seed)
+    cuts = _cuts(keyed.select("source", "__s", "__h", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n")), pattern, share, most, block_words, n_shards)
+    spans = _spans(F.coalesce(F.col(size), F.lit(0)).cast("long"), math.ceil(most), n_shards)
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["first"])
+    return keyed.join(small(cuts), "__s").withColumn("spans", spans).withColumn("taken", taken).select(*names, *ADDED)
 
 
-def _selected(text: pd.Series, firsts: pd.Series, stops: pd.Series) -> pd.Series:
-    return pd.Series([cut_words(t, list(zip(a, b))) for t, a, b in zip(text, firsts, stops)], dtype=object)
+def cut_words(text: Column, first: Column, stop: Column) -> Column:
+    """Words first to stop of the text with the white space between them."""
+    words = F.regexp_extract_all(text, F.lit(rf"({WORD})[\x20\x09-\x0D]*"), F.lit(0))
+    return F.regexp_replace(F.array_join(F.slice(words, first.cast("int") + 1, (stop - first).cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each whole pass over a document and one for its selected blocks.
+def mixed_documents(docs: DataFrame, pattern: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, n_shards: int = 1, seed: int = 11) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each part of a document that is taken, with that part as its text.
 
-    n_chars, if docs has it, is set to the length of the text that is returned. Documents that aren't taken go.
+    n_chars, if docs has it, is set for documents that are cut. Documents that aren't taken go.
     """
     names = docs.columns
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    placed = mix(sized, size="__size", ties=("doc_id", "__crc"), **options)
-    whole = placed.where("passes > 0 and __size > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int"))))
-    part = placed.where(F.size("spans") > 0).withColumn("text", F.pandas_udf(_selected, "string")("text", F.expr("transform(spans, x -> x.first)"), F.expr("transform(spans, x -> x.stop)")))
+    keyed = _keyed(docs, [F.col("doc_id"), checksum(F.col("text"))], seed)
+    cuts = _cuts(keep(keyed.select("source", "__s", "__h", word_count(F.col("text")).alias("__n"))), pattern, share, most, block_words, n_shards)
+    joined = keyed.join(small(cuts.select("__s", "__cuts")), "__s")
+    # Only documents at which a quota ends need their number of words; of any other all words are taken, or none.
+    at_cut = F.exists("__cuts", lambda x: x["h"] == F.col("__h"))
+    words = F.when(at_cut, word_count(F.col("text"))).when(F.col("text").rlike(WORD), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    parts = joined.withColumn("__n", words).withColumn("__x", F.explode(_spans(F.col("__n"), math.ceil(most), n_shards)))
+    whole = (F.col("__x.first") == 0) & (F.col("__x.stop") == F.col("__n"))
+    out = parts.withColumn("__cut", F.when(~whole, cut_words(F.col("text"), F.col("__x.first"), F.col("__x.stop"))))
     if "n_chars" in names:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*names).unionByName(part.select(*names))
+        out = out.withColumn("n_chars", F.when(F.col("__cut").isNotNull(), F.length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("__cut", "text")).select(*names)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select(
-        F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"),
-    )
-    found = mix(rows, ties=("doc_id", "crc"), n_shards=16)
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    rows = keep(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), checksum(F.col("text")).alias("crc")))
+    return mix(rows, ties=("doc_id", "crc"), n_shards=16).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op5_mixing": op5_mixing}
