@@ -4,7 +4,8 @@ Each letter has a random vector of +1 and -1, made from a seed and its code poin
 multiplication, each permuted (rotated) by its place; a text's vector bundles (sums) those of all its n-grams, and a language's
 prototype bundles all its training texts. A text gets the language whose prototype has the largest cosine with its vector.
 
-Bundling is linear, so a batch of texts is one matrix product of n-gram counts with n-gram vectors. Training adds up whole numbers over all
+Bundling is linear, so texts are summed by matrix products of n-gram counts with n-gram vectors, ``CHUNK`` n-grams at a time whatever the
+alphabet, over stretches of ``STRETCH`` letters, so memory is bounded for texts of any length. Training adds up whole numbers over all
 labelled rows, so it doesn't depend on the order of rows; a model has languages x ``dimensions`` numbers.
 
 Cases: null text, or text without letters, gets ``und`` with score 0; so does every text if nothing is labelled; equal cosines go to the
@@ -19,7 +20,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ from nearfold.llm.common import bounded_batches, release_memory
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 29
 MOST_LANGUAGES = 2000
-#: Texts that are counted together; n-gram vectors that a worker keeps (some 64 MB).
-TOGETHER, MOST_GRAMS = 256, 65_536
+#: Texts of a call, letters that are counted together, and n-grams whose vectors are made at a time (some 20 MB).
+TOGETHER, STRETCH, CHUNK = 256, 1 << 20, 4096
 SPACE = 32
 
 
@@ -39,85 +39,100 @@ def folding() -> np.ndarray:
     return np.array([k if chr(k).isalpha() else SPACE for k in range(0x110000)], dtype=np.uint32)
 
 
-@lru_cache(maxsize=8192)
-def letter(code: int, place: int) -> np.ndarray:
-    """The vector of a letter, rotated by its place in the n-gram."""
-    signs = np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
-    return np.roll(signs, place).astype(np.int8)
+@lru_cache(maxsize=4096)
+def letter(code: int) -> np.ndarray:
+    """The vector of a letter."""
+    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
 
 
-class Grams:
-    """Vectors of n-grams, made once in each worker."""
+def bound(grams: np.ndarray) -> np.ndarray:
+    """The vectors of n-grams, rows of GRAM code points: each letter's vector rotated by its place from the end, multiplied."""
+    codes, places = np.unique(grams, return_inverse=True)
+    letters = np.stack([letter(c) for c in codes.tolist()]).astype(np.int8)
+    places = places.reshape(grams.shape)
+    out = letters[places[:, GRAM - 1]]
+    for k in range(GRAM - 1):
+        out *= np.roll(letters, GRAM - 1 - k, axis=1)[places[:, k]]
+    return out
 
-    def __init__(self) -> None:
-        self.rows: dict[int, int] = {}
-        self.table = np.empty((1024, DIMENSIONS), dtype=np.int8)
 
-    def vectors(self, grams: list[tuple[int, ...]]) -> np.ndarray:
-        if len(self.rows) + len(grams) > MOST_GRAMS:
-            self.rows.clear()
-        places = []
-        for gram in grams:
-            row = self.rows.get(gram)
-            if row is None:
-                row = self.rows[gram] = len(self.rows)
-                if row == len(self.table):
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                bound = letter(gram[0], GRAM - 1)
-                for k in range(1, GRAM):
-                    bound = bound * letter(gram[k], GRAM - 1 - k)
-                self.table[row] = bound
-            places.append(row)
-        return self.table[places].astype(np.float32)
-
-
-@lru_cache(maxsize=1)
-def grams() -> Grams:
-    return Grams()
-
-
-def counts(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray]:
-    """(texts x n-grams) counts, the n-grams as code points, and which texts have letters."""
-    codes, owners, lettered = [], [], np.zeros(len(texts), dtype=bool)
+def stretches(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, code points) in order: letters, with one space for what stands between, before and after them; a long text comes in several
+    stretches, each but the first beginning with the GRAM - 1 symbols before it. Texts without letters give nothing."""
     for k, text in enumerate(texts):
-        folded = folding()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        lettered[k] = bool((folded != SPACE).any())
-        if lettered[k]:
-            framed = np.concatenate([[SPACE], folded, [SPACE]]).astype(np.uint32)
+        lowered = text.lower()
+        tail = np.array([], dtype=np.uint32)
+        held = False
+        for at in range(0, len(lowered) + 1, STRETCH):
+            folded = folding()[np.frombuffer(lowered[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+            last = at + STRETCH > len(lowered)
+            framed = np.concatenate([tail if held else [SPACE], folded, [SPACE] * last]).astype(np.uint32)
+            # Of a run of spaces the first stays.
             framed = framed[np.append(True, (framed[1:] != SPACE) | (framed[:-1] != SPACE))]
-            codes.append(framed)
-            owners.append(k)
-    if not codes:
-        return np.zeros((len(texts), 0), np.float32), [], lettered
-    together = np.concatenate(codes)
+            if not held and len(framed) == 1:
+                continue  # no letter yet
+            held = True
+            tail = framed[-(GRAM - 1) :]
+            if len(framed) >= GRAM:
+                yield k, framed
+
+
+def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x dimensions) vectors, and which texts have letters."""
+    vectors, lettered = np.zeros((len(texts), DIMENSIONS)), np.zeros(len(texts), dtype=bool)
+    waiting: list[tuple[int, np.ndarray]] = []
+    held = 0
+    for owner, codes in stretches(texts):
+        lettered[owner] = True
+        waiting.append((owner, codes))
+        held += len(codes)
+        if held >= STRETCH:
+            _add(vectors, waiting)
+            waiting, held = [], 0
+    if waiting:
+        _add(vectors, waiting)
+    return vectors, lettered
+
+
+def _add(vectors: np.ndarray, waiting: list[tuple[int, np.ndarray]]) -> None:
+    """Add the n-grams of these stretches to their texts' vectors."""
+    together = np.concatenate([codes for _, codes in waiting])
     present = np.flatnonzero(np.bincount(together))
     number = np.zeros(int(present[-1]) + 1, dtype=np.int64)
     number[present] = np.arange(len(present))
     size = len(present)
     keys = []
-    for framed in codes:
-        symbols = number[framed]
+    for _, codes in waiting:
+        symbols = number[codes]
         key = symbols[: len(symbols) - GRAM + 1]
         for k in range(1, GRAM):
             key = key * size + symbols[k : len(symbols) - GRAM + 1 + k]
         keys.append(key)
-    everything = np.concatenate(keys)
     if size**GRAM <= 1 << 22:
-        seen = np.flatnonzero(np.bincount(everything, minlength=1))
-        place = np.zeros(int(seen[-1]) + 1, dtype=np.int64)
+        seen = np.flatnonzero(np.bincount(np.concatenate(keys), minlength=1))
+        place = np.zeros(int(seen[-1]) + 1, dtype=np.int32)
         place[seen] = np.arange(len(seen))
         found = [place[key] for key in keys]
     else:
-        seen, inverse = np.unique(everything, return_inverse=True)
-        found = np.split(inverse, np.cumsum([len(key) for key in keys])[:-1])
-    table = np.zeros((len(texts), len(seen)), dtype=np.float32)
-    for k, places in zip(owners, found, strict=True):
-        table[k] = np.bincount(places, minlength=len(seen))
-    digits, rest = [], seen
-    for _ in range(GRAM):
-        digits.append(present[rest % size])
-        rest = rest // size
-    return table, list(zip(*[d.tolist() for d in reversed(digits)])), lettered
+        seen, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        found = np.split(inverse.astype(np.int32), np.cumsum([len(key) for key in keys])[:-1])
+    owners = np.array([owner for owner, _ in waiting])
+    # A text in several stretches takes several turns, so that no turn has it twice.
+    nth = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    turns = [np.flatnonzero(nth == k) for k in range(int(nth.max()) + 1)]
+    for low in range(0, len(seen), CHUNK):
+        rest, digits = seen[low : low + CHUNK], []
+        wide = len(rest)
+        for _ in range(GRAM):
+            digits.append(present[rest % size])
+            rest = rest // size
+        table = np.zeros((len(waiting), wide), dtype=np.float32)
+        for k, places in enumerate(found):
+            mine = places if wide == len(seen) else places[(places >= low) & (places < low + wide)] - low
+            table[k] = np.bincount(mine, minlength=wide)
+        sums = table @ bound(np.stack(digits[::-1], axis=1)).astype(np.float32)
+        for rows in turns:
+            vectors[owners[rows]] += sums[rows]
 
 
 @dataclass
@@ -131,16 +146,12 @@ def train(labelled: DataFrame) -> Model:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in bounded_batches(batches, "text", most_rows=TOGETHER):
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            table, found, lettered = counts(texts)
-            if not found:
-                continue
-            names = sorted({x for x, has in zip(langs, lettered) if has})
-            index = np.array([names.index(x) if has else -1 for x, has in zip(langs, lettered)])
-            by_lang = np.stack([table[index == k].sum(axis=0, dtype=np.float64) for k in range(len(names))])
-            for name, row in zip(names, by_lang @ grams().vectors(found).astype(np.float64)):
-                sums[name] = sums.get(name, 0) + row
+        for batch in bounded_batches(batches, "text", 1 << 20, TOGETHER):
+            langs = batch.column(1).to_pylist()
+            vectors, lettered = bundle(batch.column(0).to_pylist())
+            for name in {x for x, has in zip(langs, lettered) if has}:
+                own = np.array([x == name for x in langs]) & lettered
+                sums[name] = sums.get(name, 0) + vectors[own].sum(axis=0)
         release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
@@ -157,10 +168,9 @@ def train(labelled: DataFrame) -> Model:
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """(language, cosine cut to 0..1) for each text."""
-    table, found, lettered = counts([t or "" for t in texts])
     best, score = ["und"] * len(texts), np.zeros(len(texts))
-    if found and model.languages:
-        vectors = (table @ grams().vectors(found)).astype(np.float64)
+    vectors, lettered = bundle([t or "" for t in texts])
+    if model.languages and lettered.any():
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         cosines = (vectors @ model.prototypes.T) / np.where(lengths == 0, 1, lengths)[:, None]
         top = np.argmax(cosines, axis=1)
@@ -172,26 +182,18 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred string and score double, from the text alone."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        langs: list[str] = []
-        scores: list[np.ndarray] = []
-        waiting: list[str | None] = []
-        held = 0
-        for text in texts:
-            waiting.append(text)
-            held += len(text or "")
-            if len(waiting) == TOGETHER or held > 1 << 22:
-                best, score = predict(model, waiting)
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            langs: list[str] = []
+            scores: list[float] = []
+            whole = pa.RecordBatch.from_arrays([texts], ["text"])
+            for part in bounded_batches(iter([whole]), "text", 1 << 20, TOGETHER):
+                best, score = predict(model, part.column(0).to_pylist())
                 langs += best
-                scores.append(score)
-                waiting, held = [], 0
-        if waiting:
-            best, score = predict(model, waiting)
-            langs += best
-            scores.append(score)
+                scores += score.tolist()
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
         release_memory()
-        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.empty(0)})
 
     docs = docs.drop("lang_pred", "score")
     guessed = docs.withColumn("__guess", guess(F.col("text").cast("string")))

@@ -1,11 +1,16 @@
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from nearfold.llm import langid
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def plain_vector(text):
     letters = "".join(c if c.isalpha() else " " for c in text.lower())
@@ -17,14 +22,45 @@ def plain_vector(text):
     return total
 
 
-def test_vectors_equal_the_definition():
-    texts = ["Hello, world", "  d\u00e9j\u00e0  vu 12 ", "a", "\u65e5\u672c\u8a9e \u0440\u0443\u0441", "x-y_z"]
-    table, grams, lettered = langid.counts([*texts, "12 !?"])
-    assert lettered.tolist() == [True] * 5 + [False]
-    found = table @ langid.Grams().vectors(grams)
-    for text, row in zip(texts, found):
-        assert row.tolist() == plain_vector(text).tolist()
-    assert langid.counts(["", "1"])[1] == []
+def plain_counts(text, known={}):
+    """The same from counted n-grams, for long texts; None without letters."""
+    letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    framed = f" {letters} "
+    if not letters:
+        return None
+    total = np.zeros(langid.DIMENSIONS)
+    for gram, n in Counter(framed[k : k + 3] for k in range(len(framed) - 2)).items():
+        if gram not in known:
+            a, b, c = (np.random.default_rng([langid.SEED, ord(x)]).integers(0, 2, langid.DIMENSIONS, dtype=np.int8) * 2.0 - 1 for x in gram)
+            known[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+        total += n * known[gram]
+    return total
+
+
+def test_vectors_equal_the_definition(monkeypatch):
+    texts = ["Hello, world", "  d\u00e9j\u00e0  vu 12 ", "a", "\u65e5\u672c\u8a9e \u0440\u0443\u0441", "x-y_z", "", " 9 " * 5, "ab  cd " * 9 + "e"]
+    for stretch, chunk in ((langid.STRETCH, langid.CHUNK), (1, 2), (2, 3), (3, 1), (7, 5)):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        vectors, lettered = langid.bundle(texts)
+        assert lettered.tolist() == [True] * 5 + [False, False, True]
+        for text, row, has in zip(texts, vectors, lettered):
+            assert row.tolist() == (plain_vector(text).tolist() if has else [0.0] * langid.DIMENSIONS)
+
+
+def test_a_long_text_in_a_large_alphabet_takes_bounded_memory():
+    code = """
+import random, resource
+from nearfold.llm import langid
+rng = random.Random(3)
+text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(400_000))
+langid.bundle(["warm"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+langid.bundle([text] * 2)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300, check=True)
+    assert int(out.stdout.split()[-1]) < 250
 
 
 def test_training_and_prediction(spark):
@@ -51,6 +87,21 @@ def test_query_on_held_out_documents(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = langid.op10_langid(spark, sf).collect()
     assert len(found) == len(docs)
+    # Every prediction against a plain model: prototypes of the documents that aren't held out, and the largest cosine.
+    sums = {}
+    vectors = {d: plain_counts(r["text"] or "") for d, r in docs.items()}
+    for d, r in docs.items():
+        if zlib.crc32(str(d).encode()) % 4 != 2 and r["lang"] is not None and vectors[d] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vectors[d]
+    names = sorted(sums)
+    prototypes = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    for r in found:
+        v = vectors[r["doc_id"]]
+        if v is None:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        cosines = prototypes @ v / np.linalg.norm(v)
+        assert abs(r["score"] - max(0, cosines.max())) < 1e-5 and cosines[names.index(r["lang_pred"])] > cosines.max() - 1e-6
     right = Counter()
     for r in found:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
