@@ -15,10 +15,10 @@ columns pass through ``deduplicate`` untouched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +28,13 @@ from nearfold.llm.common import bounded_batches, connected_components, keep, loc
 
 TILE_ROWS = 65_536
 BLOCK = 512
-#: Words of the fingerprints that deduplicate() compares, and the bits in which those of a pair at similarity 0.8 differ at most: mean 39, sd 6.
-WIDE, RADIUS, SPAN = 4, 56, 32
-#: Texts of so many distinct shingles at most are compared by an exact route too, for few shingles leave the bits of a fingerprint to chance.
-SHORT = 64
-FIELDS, CONTENT, LINK = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1"), ("rep", "other", "bits", "n")
+#: Words of the fingerprints that deduplicate() compares, and the bits in which those of a long pair at similarity 0.8 differ at most: mean 39, sd 6.
+WIDE, RADIUS, SPAN = 4, 64, 32
+#: Few shingles leave the bits of a fingerprint more to chance (at worst, 4 of 5 in common, the mean is 48), so up to so many more bits may differ.
+SHORT, SHORT_MORE, HALF_MORE = 64, 12, 8
+#: Candidates of a document that the first comparison lists at most; all others are listed by a second one.
+FEW = 8
+FIELDS, CONTENT, LINK = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1"), ("cid", "other", "bits", "n")
 #: The bits that are set in each byte value, as a 256 x 8 table.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -65,6 +67,10 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, "doc_id long, fp long")
 
 
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
 def _quarters(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((fps >> np.uint64(16 * k)) & np.uint64(0xFFFF)) for k in range(4)], axis=1).astype(np.int16)
 
@@ -120,16 +126,16 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int = TILE_ROWS) -> D
         F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).alias("second"), "fp"
     )
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, second = pdf["fp"].to_numpy().view(np.uint64), pdf["second"].to_numpy()
-        own = pdf["t0"].iat[0] == pdf["t1"].iat[0]
+    def match(table: pa.Table) -> pa.Table:
+        fps, second = _column(table, "fp").view(np.uint64), _column(table, "second")
+        own = table.column("t0")[0] == table.column("t1")[0]
         left, right = fps[~second], None if own else fps[second]
-        if len(left) == 0 or right is not None and len(right) == 0:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        u, v = tile_links(left, right, radius)
-        return pd.DataFrame({"a": u.view(np.int64), "b": v.view(np.int64)})
+        u = v = np.empty(0, np.uint64)
+        if len(left) and (right is None or len(right)):
+            u, v = tile_links(left, right, radius)
+        return pa.table({"a": u.view(np.int64), "b": v.view(np.int64)})
 
-    return dealt.groupBy("t0", "t1").applyInPandas(match, "a long, b long")
+    return dealt.groupBy("t0", "t1").applyInArrow(match, "a long, b long")
 
 
 def components(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -152,36 +158,31 @@ def shingles(text: str | None, width: int = 5) -> list[bytes]:
     width = min(width, len(words))
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
-    return list(dict.fromkeys(joined[s:e] for s, e in zip(starts.tolist(), (starts + lengths)[width - 1 :].tolist())))
+    return list({joined[s:e]: None for s, e in zip(starts.tolist(), (starts + lengths)[width - 1 :].tolist())})
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """256 majority bits over the XXH3-128 values of the distinct shingles with two seeds, as four unsigned words (all 0 without words), and 64 bits of each shingle.
+def wide_fingerprint(text: str | None, width: int = 5) -> tuple[np.ndarray, int]:
+    """256 majority bits over the XXH3-128 values of the distinct shingles with two seeds, as four unsigned words (all 0 without words), and how many shingles.
 
     A shingle counts once however often it stands in the text, as in ``similarity``.
     """
     found = shingles(text, width)
     if not found:
-        return np.zeros(WIDE, dtype=np.uint64), np.empty(0, np.int64)
+        return np.zeros(WIDE, dtype=np.uint64), 0
     digest = xxhash.xxh3_128_digest
-    parts, hashes = [], None
+    parts = []
     for seed in range(WIDE // 2):
         octets = np.frombuffer(b"".join([digest(x, seed) for x in found]), np.uint8).reshape(-1, 16)
         counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BYTE_BITS for k in range(16)])
         parts.append(np.packbits(2 * counts > len(found), bitorder="little").view("<u8"))
-        hashes = octets.view("<i8")[:, 0] if hashes is None else hashes
-    return np.concatenate(parts), hashes
+    return np.concatenate(parts), len(found)
 
 
-def similarity(a: str, b: str, width: int = 5) -> float:
+def similarity(a: str | set[bytes], b: str | set[bytes], width: int = 5) -> float:
     """Jaccard similarity of the sets of word shingles; 1 for two texts without words."""
-    sets = []
-    for text in (a, b):
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        n = min(width, len(words))
-        sets.append({b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)} if words else {b""})
-    both = len(sets[0] & sets[1])
-    return both / (len(sets[0]) + len(sets[1]) - both)
+    x, y = (t if isinstance(t, set) else set(shingles(t, width)) for t in (a, b))
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
 def content(text: str | None) -> bytes:
@@ -189,176 +190,228 @@ def content(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5, longest: int = 0) -> DataFrame:
-    """(doc_id, c0, c1, f0 .. f3, size, shingles) for rows with a doc_id.
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th, text for rows with a doc_id; rows with equal (doc_id, th) are the same document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
 
-    c0 and c1 hold the ``content``, size the number of distinct shingles; shingles has their hashes if there are ``longest`` at most, else null.
-    """
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, th, c0, c1, f0 .. f3, size) for rows with a doc_id: c0 and c1 hold the ``content``, size the number of distinct shingles."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, "text"):
-            texts = batch.column(1).to_pylist()
+        for batch in bounded_batches(batches, "text", 1 << 20):
+            texts = batch.column(2).to_pylist()
             same = np.frombuffer(b"".join(map(content, texts)), np.int64).reshape(-1, 2)
-            bits, sizes, short = [], [], []
-            for text in texts:
-                fp, hashes = wide_fingerprint(text, width)
-                bits.append(fp)
-                sizes.append(len(hashes))
-                short.append(hashes.copy() if len(hashes) <= longest else None)
-            found = np.array(bits).reshape(-1, WIDE).view(np.int64)
-            columns = [pa.array(x[:, k].copy()) for x in (same, found) for k in range(x.shape[1])]
-            columns += [pa.array(sizes, pa.int64()), pa.array(short, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *CONTENT, *FIELDS, "size", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    return rows.mapInArrow(each, "doc_id long, " + ", ".join(f"{f} long" for f in (*CONTENT, *FIELDS)) + ", size long, shingles array<long>")
-
-
-def short_pairs(short: DataFrame, threshold: float) -> DataFrame:
-    """(rep, other): all pairs of different roots that can reach ``threshold``, by prefix filtering. short: rep, root, size, shingles.
-
-    In an order that all texts share (rarest first), two sets that similar have a shingle in common among the first size - ceil(threshold * size) + 1
-    of each. Shingles that stand in one group only are left out of the join, so a large group lists no pairs of its own.
+            found = [wide_fingerprint(text, width) for text in texts]
+            bits = np.array([f for f, _ in found]).reshape(-1, WIDE).view(np.int64)
+            columns = [pa.array(x[:, k].copy()) for x in (same, bits) for k in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([n for _, n in found], pa.int64())], ["doc_id", "th", *CONTENT, *FIELDS, "size"])
+        release_memory()
+
+    return _rows(docs).mapInArrow(each, "doc_id long, th long, " + ", ".join(f"{f} long" for f in (*CONTENT, *FIELDS)) + ", size long")
+
+
+def reach(a: np.ndarray, b: np.ndarray, threshold: float, radius: int) -> np.ndarray:
+    """Bits in which the fingerprints of two sets of these sizes may differ and be candidates; -1 if the sizes alone rule a similarity of ``threshold`` out.
+
+    Sets as similar as that have ``need`` shingles in common. If that is all of the larger one, they are equal.
     """
-    each = short.select("rep", "root", "size", F.explode("shingles").alias("s"))
-    known = each.groupBy("s").agg(F.count("*").alias("docs"), (F.min("root") != F.max("root")).alias("open"))
-    ordered = each.join(known, "s").groupBy("rep", "root", "size").agg(F.array_sort(F.collect_list(F.struct("docs", "s", "open"))).alias("order"))
-    first = F.expr(f"slice(order, 1, cast(size - ceil({threshold}D * size - 1e-9D) + 1 as int))")
-    prefix = keep(ordered.select("rep", "root", "size", F.posexplode(first).alias("at", "x")).where("x.open").select("rep", "root", "size", "at", F.col("x.s").alias("s")))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    able = F.expr(
-        f"a.rep > b.rep and a.root <> b.root and least(a.size, b.size) >= {threshold}D * greatest(a.size, b.size) - 1e-9D"
-        f" and least(a.size - a.at, b.size - b.at) >= {threshold / (1 + threshold)}D * (a.size + b.size) - 1e-9D"
-    )  # the last: what can be in common from the first common shingle on
-    return a.join(b, (F.col("a.s") == F.col("b.s")) & able).select(F.col("a.rep").alias("rep"), F.col("b.rep").alias("other")).distinct()
-
-
-def earlier_links(classes: DataFrame, radius: int, every: bool, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(rep, other, bits, n): for each class the nearest one with a smaller rep within ``radius`` bits, by pair of tiles; n: how many there are.
-
-    every: instead, all such pairs whose later class is marked ``asked`` and whose roots differ. classes: rep, f0 .. f3, root, asked. Tiles are ranges of ``SPAN``
-    population counts, in slices of bounded size; tiles whose ranges are more than the radius apart never meet, and neither do blocks within them.
+    need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+    most = np.where(np.minimum(a, b) > SHORT, radius, radius + SHORT_MORE)
+    return np.where(need > np.minimum(a, b), -1, np.where(need == np.maximum(a, b), 0, most))
+
+
+def candidate_links(classes: DataFrame, threshold: float, radius: int, most: int | None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(cid, other, bits, n): for each class the ``most`` nearest candidates with a smaller cid, by pair of tiles; n, on the first of them, says how many there are.
+
+    most None: instead, all candidates (n = 0) of classes marked ``asked`` whose roots differ. classes: cid, f0 .. f3, size, root, asked.
+    Tiles are ranges of ``SPAN`` population counts within classes of size, in slices of bounded size. Tiles whose counts are more than the radius apart never meet, nor those whose
+    sizes differ by more than the threshold, and neither do blocks within them.
     """
+    farthest, base = radius + SHORT_MORE, math.log(1 / threshold)
     count = sum((F.bit_count(f) for f in FIELDS[1:]), F.bit_count(FIELDS[0]))
-    tiled = classes.withColumn("pop", count.cast("int")).withColumn("span", F.floor(F.col("pop") / SPAN).cast("int"))
     spans = 64 * WIDE // SPAN + 1
-    sizes = dict(tiled.groupBy("span").count().collect())  # ``spans`` rows at most
-    per = F.array(*[F.lit(-(-sizes.get(k, 0) // tile_rows)) for k in range(spans)])
-    tiled = tiled.withColumn("per", per).withColumn("tile", F.col("span").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.get(per, F.col("span"))))
-    reach = (radius - 1) // SPAN + 1
+    kind = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(base) + F.lit(1e-9)).cast("int")
+    tiled = classes.withColumn("span", F.floor(count / SPAN).cast("int")).withColumn("place", kind * spans + F.col("span"))
+    sizes = dict(tiled.groupBy("place").count().collect())  # a row for each class of size and span, some hundreds
+    places = max(sizes, default=0) + 3 * spans
+    per = F.array(*[F.lit(-(-sizes.get(k, 0) // tile_rows)) for k in range(places)])
+    tiled = tiled.withColumn("per", per).withColumn("tile", F.col("place").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("cid"), F.get(per, F.col("place"))))
+    near = -(-farthest // SPAN)
     partners = F.expr(
-        f"flatten(transform(sequence(greatest(span - {reach}, 0), least(span + {reach}, {spans - 1})),"
-        " q -> transform(filter(sequence(0, get(per, q)), j -> j < get(per, q)), j -> q * 4294967296L + j)))"
+        f"flatten(transform(filter(flatten(transform(sequence(-1, 1), k -> transform(sequence(greatest(span - {near}, 0), least(span + {near}, {spans - 1})), q -> place - span + k * {spans} + q))), p -> p >= 0),"
+        " p -> transform(filter(sequence(0, get(per, p)), j -> j < get(per, p)), j -> p * 4294967296L + j)))"
     )
-    columns = ("rep", *FIELDS, "root", "asked", "pop")
+    columns = ["cid", *FIELDS, "size", *(("root", "asked") if most is None else ())]
     dealt = tiled.select(*columns, "tile", F.explode(partners).alias("other_tile")).select(
         F.least("tile", "other_tile").alias("t0"), F.greatest("tile", "other_tile").alias("t1"), (F.col("tile") > F.col("other_tile")).alias("second"), *columns
     )
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pop", kind="stable")
-        own = pdf["t0"].iat[0] == pdf["t1"].iat[0]
-        sides = [part for _, part in pdf.groupby("second", sort=True)]
-        out: list[pd.DataFrame] = []
-        if own or len(sides) == 2:
+    def match(table: pa.Table) -> pa.Table:
+        own = table.column("t0")[0] == table.column("t1")[0]
+        second = _column(table, "second")
+        sides = [Side(table, which) for which in (~second, second)]
+        best = Nearest(most)
+        if own or len(sides[0].cid) and len(sides[1].cid):
             a, b = sides[0], sides[0] if own else sides[1]
-            if every:  # each pair from its later class
-                for x, y in [(a, b)] if own else [(a, b), (b, a)]:
-                    out += [p[(p["rep"] == p["x"]) & (p["root"] != p["other_root"])][list(LINK)] for p in _near_pairs(x[x["asked"]], y, radius, False)]
-            else:
-                for p in _near_pairs(a, b, radius, own):
-                    out.append(_nearest(p[list(LINK)]))
-                    if len(out) > 64:
-                        out = [_nearest(pd.concat(out))]
+            for x, y, bits in near_pairs(a, b, threshold, radius, own):
+                i, j = a.cid[x], b.cid[y]
+                if most is None:
+                    asked = np.where(i > j, a.asked[x], b.asked[y]) & (a.root[x] != b.root[y])
+                    i, j, bits = i[asked], j[asked], bits[asked]
+                best.add(np.maximum(i, j), np.minimum(i, j), bits)
         release_memory()
-        found = pd.concat(out) if out else pd.DataFrame({k: [] for k in LINK})
-        return (found if every else _nearest(found)).astype("int64")
+        return best.table()
 
-    return dealt.groupBy("t0", "t1").applyInPandas(match, "rep long, other long, bits long, n long")
+    return dealt.groupBy("t0", "t1").applyInArrow(match, "cid long, other long, bits long, n long")
 
 
-def _near_pairs(a: pd.DataFrame, b: pd.DataFrame, radius: int, own: bool) -> Iterator[pd.DataFrame]:
-    """Pairs within ``radius`` bits by block: rep, other, bits, n, x (the rep from a), root (of x), other_root. Both sides are in order of pop; own: a is b, each pair once."""
-    af, bf = (np.ascontiguousarray(x[list(FIELDS)].to_numpy().T).view(np.uint64) for x in (a, b))
-    (ar, aw), (br, bw) = ((x["rep"].to_numpy(), x["root"].to_numpy()) for x in (a, b))
-    for s in range(0, len(a), BLOCK):
-        low, high = a["pop"].iat[s], a["pop"].iat[min(s + BLOCK, len(a)) - 1]
-        for t in range(s if own else 0, len(b), BLOCK):
-            if max(b["pop"].iat[t] - high, low - b["pop"].iat[min(t + BLOCK, len(b)) - 1]) > radius:
-                continue
-            bits = np.zeros((min(BLOCK, len(a) - s), min(BLOCK, len(b) - t)), dtype=np.uint16)
-            for k in range(WIDE - 1):
-                bits += np.bitwise_count(af[k, s : s + BLOCK, None] ^ bf[k, None, t : t + BLOCK])
-            x, y = np.nonzero(bits <= radius)
-            x, y = x + s, y + t
-            total = sum(np.bitwise_count(af[k, x] ^ bf[k, y]).astype(np.int64) for k in range(WIDE))
-            near = (total <= radius) & ((x < y) if own else (ar[x] != br[y]))
-            x, y, total = x[near], y[near], total[near]
-            if len(x):
-                i, j = ar[x], br[y]
-                yield pd.DataFrame({"rep": np.maximum(i, j), "other": np.minimum(i, j), "bits": total, "n": 1, "x": i, "root": aw[x], "other_root": bw[y]})
+class Side:
+    """One tile of a pair, in order of size."""
+
+    def __init__(self, table: pa.Table, rows: np.ndarray):
+        order = np.flatnonzero(rows)
+        order = order[np.argsort(_column(table, "size")[order], kind="stable")]
+        self.cid, self.size = _column(table, "cid")[order], _column(table, "size")[order]
+        self.bits = [np.ascontiguousarray(_column(table, f)[order]).view(np.uint64) for f in FIELDS]
+        self.count = sum(np.bitwise_count(f).astype(np.int16) for f in self.bits)
+        if "root" in table.column_names:
+            self.root, self.asked = _column(table, "root")[order], _column(table, "asked")[order]
+
+
+class Nearest:
+    """Gathers links (later, other, bits), and keeps the nearest few of each later one, or all."""
+
+    def __init__(self, most: int | None):
+        self.most, self.held = most, 0
+        self.parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
 
+    def add(self, later: np.ndarray, other: np.ndarray, bits: np.ndarray) -> None:
+        self.parts.append((later, other, bits, np.full(len(later), self.most is not None, np.int64)))
+        self.held += len(later)
+        if self.most is not None and self.held > 500_000:
+            self._reduce()
+            self.held = 0
 
-def _nearest(links: pd.DataFrame) -> pd.DataFrame:
-    """For each rep the link with the fewest bits (the smallest other of equals), with the number of all of them."""
-    ordered = links.sort_values(["rep", "bits", "other"])
-    first = ordered.drop_duplicates("rep")
-    return first.assign(n=ordered.groupby("rep", sort=True)["n"].sum().to_numpy())
+    def _reduce(self) -> None:
+        later, other, bits, n = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((other, bits, later))
+        later, other, bits, n = later[order], other[order], bits[order], n[order]
+        starts = np.flatnonzero(np.append(True, later[1:] != later[:-1])) if len(later) else np.empty(0, np.int64)
+        lengths = np.diff(np.append(starts, len(later)))
+        totals = np.add.reduceat(n, starts) if len(later) else n
+        rank = np.arange(len(later)) - np.repeat(starts, lengths)
+        n = np.zeros(len(later), np.int64)
+        n[starts] = totals
+        few = rank < self.most
+        self.parts = [(later[few], other[few], bits[few], n[few])]
 
+    def table(self) -> pa.Table:
+        if self.most is not None:
+            self._reduce()
+        return pa.table(dict(zip(LINK, (np.concatenate(c).astype(np.int64) for c in zip(*self.parts)))))
 
-def _similar(pairs: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Those of the pairs (rep, other) whose whole texts have at least this similarity."""
-    pairs = keep(pairs.select("rep", "other").distinct())
-    ids = pairs.select(F.col("rep").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(small(keep(ids)), "doc_id", "left_semi")
-    named = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # one text where an id repeats
-    mine, theirs = named.select(F.col("doc_id").alias("rep"), "text"), named.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+
+def near_pairs(a: Side, b: Side, threshold: float, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in a, places in b, bits) of the candidates between two tiles, or within one (own), by block; each pair once.
+
+    A pair in reach differs by at most ``HALF_MORE`` bits more than half of the farthest reach in the first half of its bits.
+    """
+    farthest = radius + SHORT_MORE
+    half = farthest // 2 + HALF_MORE
+    for s in range(0, len(a.cid), BLOCK):
+        t = min(s + BLOCK, len(a.cid))
+        first = int(np.searchsorted(b.size, math.floor(a.size[s] * threshold)))
+        last = int(np.searchsorted(b.size, math.ceil(a.size[t - 1] / threshold), side="right"))
+        low, high = a.count[s:t].min(), a.count[s:t].max()
+        for p in range(s if own else first, last, BLOCK):
+            q = min(p + BLOCK, last)
+            if max(b.count[p:q].min() - high, low - b.count[p:q].max()) > farthest:
+                continue
+            bits = np.bitwise_count(a.bits[0][s:t, None] ^ b.bits[0][None, p:q])
+            bits += np.bitwise_count(a.bits[1][s:t, None] ^ b.bits[1][None, p:q])
+            x, y = np.nonzero(bits <= half)
+            x, y = x + s, y + p
+            total = sum(np.bitwise_count(f[x] ^ g[y]).astype(np.int64) for f, g in zip(a.bits, b.bits))
+            near = total <= reach(a.size[x], b.size[y], threshold, radius)
+            near &= (x < y) if own else (a.cid[x] != b.cid[y])
+            if near.any():
+                yield x[near], y[near], total[near]
+
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Those of the pairs (cid, other) whose whole texts have at least this similarity."""
+    keys = classes.select("cid", "doc_id", "th")
+    named = pairs.select("cid", "other").distinct().join(keys, "cid").join(keys.select(F.col("cid").alias("other"), F.col("doc_id").alias("d2"), F.col("th").alias("t2")), "other")
+    named = keep(named)
+    rows = _rows(docs)
+    # The text of each named document once, also where its row is repeated.
+    theirs = rows.join(small(named.select(F.col("d2").alias("doc_id"), F.col("t2").alias("th"), "other").distinct()), ["doc_id", "th"])
+    mine = rows.join(small(named.select("doc_id", "th", "cid", "other")), ["doc_id", "th"]).select("cid", "other", "text")
+    if theirs.select("other").groupBy("other").count().where("count > 1").limit(1).count():
+        theirs = theirs.groupBy("other").agg(F.first("text").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_batches(batches, "text"):
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            passed = pa.array([similarity(x, y, width) >= threshold for x, y in zip(a, b)], pa.bool_())
-            yield batch.select([0, 1]).filter(passed)
+        last, held = None, set()
+        for batch in bounded_batches(batches, "text", 1 << 20):
+            passed = []
+            for other, mine_, theirs_ in zip(batch.column(1).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3))):
+                if other != last:
+                    last, held = other, set(shingles(theirs_, width))
+                passed.append(similarity(mine_, held, width) >= threshold)
+            yield batch.select([0, 1]).filter(pa.array(passed, pa.bool_()))
+        release_memory()
 
-    both = pairs.join(mine, "rep").join(theirs, "other").select("rep", "other", "text", "other_text")
-    return both.mapInArrow(each, "rep long, other long")
+    both = mine.join(theirs.select("other", F.col("text").alias("other_text")), "other").select("cid", "other", "text", "other_text")
+    return keep(both.mapInArrow(each, "cid long, other long"))
 
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes with ``root``, the least rep that verified links (rep, other) reach."""
-    forest = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    return keep(classes.drop("root").join(forest.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    """classes with ``root``, the least cid that verified links (cid, other) reach."""
+    forest = connected_components(links.select(F.col("cid").alias("a"), F.col("other").alias("b")))
+    return keep(classes.drop("root").join(forest.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The rows of docs that stay: of each group that links of a similarity of ``threshold`` or more connect, those with the least doc_id.
-
-    Similarity is Jaccard's, of word shingles of whole texts. Candidates are pairs of 256-bit fingerprints within ``radius`` bits (a
-    pair at 0.8 differs by 39 on average, standard deviation 6), and all pairs that can be similar where one text has ``SHORT`` distinct shingles at most.
-    The nearest earlier one of each document is checked exactly, and the links that hold
-    are joined up; then all other candidates in different groups are checked, so every verified candidate counts, but pairs within a group needn't
-    be listed. Texts with the same words in the same order, letter case aside, are copies, and a group of copies costs one
-    row; equal fingerprints alone decide nothing. The columns of docs come back unchanged; rows with a null doc_id stay, for nothing orders them.
+    """The rows of docs that stay: of each group that links of a similarity of ``threshold`` or more connect, the document with the least doc_id.
+
+    Similarity is Jaccard's, of word shingles of whole texts. Candidates are pairs of 256-bit fingerprints within ``radius`` bits, or ``SHORT_MORE`` bits more where
+    a text has ``SHORT`` distinct shingles or fewer (a long pair at 0.8 differs by 39 on average, standard deviation 6). The nearest
+    earlier one of each document is checked on whole texts, and the links that hold are joined up; then all other candidates in different groups are
+    checked, so every candidate counts, but pairs within a group needn't be listed. Texts with the same words in the same order, letter case
+    aside, are copies, and a group of copies costs one row; equal fingerprints alone decide nothing. Rows with the same doc_id and text are one
+    document, and stay or go together; of different texts with one doc_id each is a document of its own, and of those that tie for the least doc_id one stays. The columns of docs
+    come back unchanged; rows with a null doc_id stay, for nothing orders them.
     """
-    # A text similar to one of SHORT shingles has SHORT / threshold at most.
-    marked = keep(wide_fingerprints(docs, width, int(SHORT / threshold + 1e-9)))
-    classes = keep(marked.groupBy(*CONTENT, *FIELDS, "size").agg(F.min("doc_id").alias("rep")))
-    found = keep(earlier_links(classes.withColumns({"root": F.col("rep"), "asked": F.lit(True)}), radius, False, tile_rows))
-    best = F.min(F.struct("bits", "other"))
-    nearest = keep(found.groupBy("rep").agg(best.alias("best"), F.sum("n").alias("n")).select("rep", F.col("best.other").alias("other"), "n"))
-    linked = keep(_similar(nearest, docs, threshold, width))
+    marked = keep(wide_fingerprints(docs, width))
+    first = F.min(F.struct("doc_id", "th")).alias("rep")
+    classes = marked.groupBy(*CONTENT, *FIELDS, "size").agg(first).select(*CONTENT, *FIELDS, "size", "rep.doc_id", "rep.th", F.monotonically_increasing_id().alias("cid"))
+    classes = keep(classes)
+    found = keep(candidate_links(classes, threshold, radius, FEW, tile_rows))
+    per = found.groupBy("cid").agg(F.min(F.struct("bits", "other")).alias("best"), F.sum("n").alias("n"), F.count("*").alias("listed"))
+    nearest = keep(per.select("cid", F.col("best.other").alias("other"), "n", "listed"))
+    linked = similar(nearest, classes, docs, threshold, width)
     rooted = _rooted(classes, linked)
-    short = marked.where("shingles is not null").join(rooted.select("rep", "root", *CONTENT), list(CONTENT)).where("doc_id = rep").dropDuplicates(["rep"])
-    pairs = short_pairs(short.select("rep", "root", "size", "shingles"), threshold)
-    open_ = keep(nearest.where("n > 1").join(rooted.where(F.col("size") > SHORT).select("rep"), "rep").select("rep", F.lit(True).alias("asked")))
+    root = rooted.select("cid", "root")
+    rest = found.select("cid", "other").join(nearest.select("cid", "other"), ["cid", "other"], "left_anti").join(root, "cid")
+    pairs = rest.join(root.select(F.col("cid").alias("other"), F.col("root").alias("other_root")), "other").where("root <> other_root").select("cid", "other")
+    open_ = nearest.where("n > listed").select("cid", F.lit(True).alias("asked"))
     if open_.limit(1).count():
-        asked = rooted.join(open_, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        pairs = pairs.unionByName(earlier_links(asked, radius, True, tile_rows).select("rep", "other"))
-    more = keep(_similar(pairs, docs, threshold, width))
-    if more.limit(1).count():
-        rooted = _rooted(classes, linked.unionByName(more))
-    out = marked.join(rooted.select("root", *CONTENT), list(CONTENT)).where("doc_id <> root").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out["__gone"], "left_anti")
+        asked = rooted.join(open_, "cid", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        pairs = pairs.unionByName(candidate_links(asked, threshold, radius, None, tile_rows).select("cid", "other").join(nearest.select("cid", "other"), ["cid", "other"], "left_anti"))
+    pairs = keep(pairs)
+    if pairs.limit(1).count():
+        more = similar(pairs, classes, docs, threshold, width)
+        if more.limit(1).count():
+            rooted = _rooted(classes, linked.unionByName(more))
+    # Of each group the least (doc_id, th) stays.
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("keep"))
+    named = rooted.join(least, "root").select(*CONTENT, "keep")
+    out = marked.join(named, list(CONTENT)).where(F.struct("doc_id", "th") != F.col("keep")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    gone = small(keep(out))
+    return docs.withColumn("__th", th).join(gone, (docs["doc_id"].cast("long") == gone["__d"]) & (F.col("__th") == gone["__t"]), "left_anti").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
