@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from nearfold.llm.common import bounded_batches, release_memory
 from nearfold.llm.encoding import encoder
 
-BLOCK_TOKENS = 1 << 20
+#: Tokens that are packed together, and pieces of a batch of results.
+BLOCK_TOKENS, BATCH = 1 << 20, 256
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 
 
@@ -83,8 +84,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             nonlocal next_id, held
             lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             pieces = assign(lengths, capacity)
-            for at in range(0, len(pieces), 1024):
-                part = pieces[at : at + 1024]
+            for at in range(0, len(pieces), BATCH):
+                part = pieces[at : at + BATCH]
                 columns = [
                     pa.array([doc_ids[d] for d, *_ in part], pa.int64()), *(pa.array([p[k] for p in part], pa.int64()) for k in (1, 2)),
                     pa.array([int(lengths[p[0]]) for p in part], pa.int64()), pa.array([next_id + p[3] for p in part], pa.int64()), pa.array([p[4] for p in part], pa.int64()),
