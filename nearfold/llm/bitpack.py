@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import bounded_batches, keep, new_folder
+from nearfold.llm.common import bounded_batches, keep, store_of
 from nearfold.llm.encoding import encoder
+from nearfold.sources.store import new_folder
 
 MAGIC = b"NFTOK1\0\0"
 HEADER, TRAILER = struct.Struct("<8sIIQ"), struct.Struct("<QQQ8s")
@@ -170,7 +171,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) ->
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, writer = encoder(tokenizer), TaskContext.get().partitionId(), None
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         path = f"{root}/part-{part:05d}.tok"
         end = np.array([end_id], np.uint32)
         for batch in bounded_batches(batches, "text"):
@@ -203,7 +204,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                store, path = pafs.FileSystem.from_uri(row["path"])
+                store, path = store_of(row["path"])
                 with store.open_input_file(path) as source:
                     reader = Reader(source)
                     for k, run in reader.runs():

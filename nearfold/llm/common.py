@@ -1,40 +1,42 @@
 """Plumbing shared by the corpus operators: shared storage, distributed running totals, components.
 
 Everything that must outlive an executor goes through ``keep`` (a reliable checkpoint in the folder
-that ``spark.checkpoint.dir`` names) or through files below ``shared_dir``.
+that ``spark.checkpoint.dir`` names) or through files in a ``new_folder`` there.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "file:///tmp/checkpoints/nearfold"
+from nearfold.sources.store import shared_dir
 
 #: A side table is broadcast only up to this many rows; beyond it, it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the folder that the driver and all executors share."""
-    uri = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(uri)
-    return uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/nearfold-{kind}-{uuid.uuid4().hex}"
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a URI of Hadoop's, and the path there; ValueError for stores that pyarrow can't reach."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":  # mounted on every machine
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    if scheme in ("wasb", "wasbs"):  # the same containers under the store's newer protocol
+        uri = f"abfs{'s' if scheme == 'wasbs' else ''}:{rest.replace('.blob.', '.dfs.')}"
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as unknown:
+        raise ValueError(f"token files can't be kept at {uri}; use a file, hdfs, s3a, gs, abfs or dbfs folder") from unknown
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from nearfold.llm import bitpack, encoding, packing
-from nearfold.llm.common import new_folder
+from nearfold.llm.common import store_of
+from nearfold.sources.store import new_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -147,8 +149,35 @@ def test_packing(spark):
     odd = spark.createDataFrame([(k, t, 0.5) for k, t in rows.items()], "doc_id long, text string, cost double").coalesce(1)
     check_pieces(packing.pack_documents(odd, PATH, capacity=16, block_tokens=64).collect(), rows, 16)
     assert packing.pack_documents(odd.limit(0), PATH).count() == 0
-    query = packing.op7_packing(spark, "/root/testdata/sf0.001").collect()
-    assert sum(r["length"] for r in query) == sum(len(v) + 1 for v in plain([t or "" for t in texts.values()]))
+
+
+def test_packing_query(spark):
+    """Every piece of the query against the library's ids: start, length, checksum, document length, and gapless offsets."""
+    texts = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()))
+    values = {d: [*v, 0] for d, v in zip(texts, plain([t or "" for t in texts.values()]), strict=True)}
+    by_doc, by_sequence = {}, {}
+    for r in packing.op7_packing(spark, "/root/testdata/sf0.001").collect():
+        own = values[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == crc(own[r["start"] : r["start"] + r["length"]])
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert by_doc.keys() == values.keys()
+    for parts, end in [(by_doc[d], len(v)) for d, v in values.items()] + [(p, None) for p in by_sequence.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == end if end is not None else at <= 1024
+    assert sum(map(len, values.values())) / (1024 * len(by_sequence)) > 0.97
+
+
+def test_stores():
+    assert store_of("dbfs:/a/b") == (pafs.LocalFileSystem(), "/dbfs/a/b") and store_of("file:///x/y")[1] == "/x/y"
+    for uri, path in (("s3a://bucket/a/b?region=us-east-1", "bucket/a/b"), ("s3n://bucket/c?region=us-east-1", "bucket/c")):
+        store, found = store_of(uri)
+        assert store.type_name == "s3" and found == path
+    with pytest.raises(ValueError, match="viewfs"):
+        store_of("viewfs://cluster/a")
 
 
 def test_assignment_balances_cost():
