@@ -2,12 +2,13 @@
 
 Rules (host, path) decide the urls they fit. For the rest, hosts are judged by the link graph: hosts whose pages the
 rules mostly allow are trusted seeds, hosts whose pages they mostly block are blocked seeds; trust is the
-personalised PageRank from the trusted seeds along links, distrust the one from the blocked seeds along reversed links. A host
+personalised PageRank from the trusted seeds along links, distrust the one from the blocked seeds along reversed links. Each seed sends out the same
+amount, and what reaches a host without links goes no further, so scores are sums over seeds and seeds that don't reach a host don't change its verdict. A host
 is blocked if its distrust makes up more than ``threshold`` of both; a host that neither reaches is allowed.
 
 Pages are aggregated to hosts and links to host edges before anything is joined, so a host with a third of all pages
 costs one row; edges are weighted by their number of links. Each step of the propagation is one join and
-one map-side combined sum, checkpointed; it ends when scores move by less than ``tolerance``.
+one map-side combined sum, checkpointed; it ends when scores move by less than ``tolerance`` for each seed, which the damping brings about in a known number of steps.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; null html has no links; relative links
 and links of a host to itself carry no rank; repeated pages count again; an empty table gives no rows; other columns are ignored.
@@ -15,6 +16,7 @@ and links of a host to itself carry no rank; repeated pages count again; an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,30 +61,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_steps: int = 100) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank: (host, score) from ``seeds`` (host, weight) along ``edges`` (src, dst, n).
 
-    score = (1 - damping) * seed + damping * (sum over links into the host + the rank of hosts without links * seed).
+    score = (1 - damping) * weight + damping * (sum over links into the host of their part of the source's score).
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     steps = keep(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("part")))
-    everything = seeds.agg(F.sum("weight")).first()[0]
-    if not everything:
-        return seeds.select("host", F.lit(0.0).alias("score")).limit(0)
-    start = keep(seeds.where("weight > 0").select("host", (F.col("weight") / F.lit(float(everything))).alias("seed")))
+    start = keep(seeds.where("weight > 0").select("host", (F.col("weight") * (1 - damping)).alias("seed")))
+    everything = (start.agg(F.sum("seed")).first()[0] or 0.0) / (1 - damping)
     score = start.select("host", F.col("seed").alias("score"))
-    sending = out.select(F.col("src").alias("host"))
-    for _ in range(most_steps):
+    # Each step's change is the last one's at most, times the damping.
+    for _ in range(math.ceil(math.log(tolerance) / math.log(damping)) + 1):
         moved = score.join(steps, score["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("part")).alias("got"))
-        sent = score.join(sending, "host", "left_semi").agg(F.sum("score")).first()[0] or 0.0
-        back = (1 - damping) + damping * (1 - sent)
         new = keep(
             start.join(moved.withColumnRenamed("dst", "host"), "host", "full")
-            .select("host", (F.coalesce("seed", F.lit(0.0)) * back + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
+            .select("host", (F.coalesce("seed", F.lit(0.0)) + F.coalesce("got", F.lit(0.0)) * damping).alias("score"))
         )
-        change = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        change = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         score = new
-        if change < tolerance:
+        if change <= tolerance * everything:
             break
     return score
 
