@@ -1,8 +1,9 @@
 """Media columns: MPEG audio streams.
 
-The parser reads any MPEG-1, 2 or 2.5 stream of layer I, II or III: it skips and reads ID3 tags, resynchronises on frame headers
-(out of step, a header counts only if the next one, or the end, stands where its length says), reads Xing, Info and VBRI tables,
-verifies each protected frame's CRC-16, and returns the exact duration (samples over rate) with the byte offset of every frame.
+The parser reads any MPEG-1, 2 or 2.5 stream of layer I, II or III with a stated bitrate (free format counts as no frame): it skips and reads ID3 tags (v1, v2.2 to v2.4, with
+extended headers and unsynchronisation), resynchronises on frame headers (out of step, a header counts only if the next one, or the end, stands where its
+length says), reads Xing, Info and VBRI tables with their seek points, verifies each protected frame's CRC-16 over what its layer covers, and returns the exact
+duration (samples over rate) with the byte offset of every frame.
 
 The writer stores a payload losslessly: silent layer III frames (48 kHz, mono, protected) whose ancillary bytes are the payload, the
 last frame at the least bitrate that holds the rest, after an ID3v2 tag with the payload's length and CRC-32 and
@@ -41,7 +42,7 @@ SAMPLING = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000
 
 @dataclass(frozen=True)
 class Header:
-    """What four header bytes say. version: 3 MPEG-1, 2 MPEG-2, 0 MPEG-2.5."""
+    """What four header bytes say. version: 3 MPEG-1, 2 MPEG-2, 0 MPEG-2.5. bound: the first subband that both channels share in layers I and II."""
 
     version: int
     layer: int
@@ -50,6 +51,8 @@ class Header:
     mono: bool
     length: int
     samples: int
+    kbps: int
+    bound: int
 
     @property
     def side(self) -> int:
@@ -70,7 +73,8 @@ def header(four: bytes) -> Header | None:
     bits = RATES[version == 3, layer][bitrate - 1] * 1000
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     length = (12 * bits // rate + padding) * 4 if layer == 1 else samples // 8 * bits // rate + padding
-    return Header(version, layer, not four[1] & 1, rate, four[3] >> 6 == 3, length, samples)
+    bound = (four[3] >> 4 & 3) * 4 + 4 if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, rate, four[3] >> 6 == 3, length, samples, bits // 1000, bound)
 
 
 def _crc_table() -> list[int]:
@@ -94,9 +98,57 @@ def crc16(covered: bytes) -> int:
     return value
 
 
+def crc16_bits(covered: bytes, bits: int) -> int:
+    """The same over the first ``bits`` bits."""
+    value = crc16(covered[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = covered[k // 8] >> 7 - k % 8 & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if value >> 15 ^ bit else 0)
+    return value
+
+
+# Fixed values of the format: bits of a layer II allocation by subband, as (bits, subbands) runs: MPEG-1, its low rates, MPEG-2.
+ALLOCATION = {"usual": ((4, 11), (3, 12), (2, 7)), "low": ((4, 2), (3, 10)), "half": ((4, 4), (3, 7), (2, 19))}
+
+
+def allocation_bits(head: Header) -> list[int]:
+    """Bits of each subband's allocation in layers I and II."""
+    if head.layer == 1:
+        return [4] * 32
+    kbps = head.kbps // (1 if head.mono else 2)
+    if head.version != 3:
+        kind, bands = "half", 30
+    elif kbps < 56:
+        kind, bands = "low", 12 if head.rate == 32000 else 8
+    else:
+        kind, bands = "usual", 30 if kbps >= 96 and head.rate != 48000 else 27
+    return [bits for bits, run in ALLOCATION[kind] for _ in range(run)][:bands]
+
+
+def covered_bits(frame: bytes, head: Header) -> int:
+    """How many bits after the CRC it covers: side information (III), allocation (I), allocation and scale factor selection (II)."""
+    if head.layer == 3:
+        return 8 * head.side
+    channels, at, used = 1 if head.mono else 2, 48, 0
+    for band, bits in enumerate(allocation_bits(head)):
+        for _ in range(channels if band < head.bound else 1):
+            value = int.from_bytes(frame[at // 8 : at // 8 + 2].ljust(2, b"\0"), "big") >> 16 - at % 8 - bits & (1 << bits) - 1
+            used += (value > 0) * (1 if band < head.bound else channels)
+            at += bits
+    return at - 48 + (2 * used if head.layer == 2 else 0)
+
+
+def checksum(frame: bytes, head: Header) -> int | None:
+    """The CRC-16 that a protected frame should have; None if it is too short to hold what that covers."""
+    bits = covered_bits(frame, head)
+    if 6 + -(-bits // 8) > len(frame):
+        return None
+    return crc16_bits(frame[2:4] + frame[6 : 6 + -(-bits // 8)], 16 + bits)
+
+
 @dataclass
 class Stream:
-    """A parsed stream. checked and wrong count protected layer III frames; skipped: bytes outside frames and tags."""
+    """A parsed stream. checked and wrong count protected frames; skipped: bytes outside frames and tags."""
 
     tags: dict[str, str] = field(default_factory=dict)
     table: dict[str, object] = field(default_factory=dict)
@@ -136,17 +188,25 @@ def _plain(four: bytes) -> int:
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     """Read the tag at ``at``; where it ends."""
     major, flags, size = data[at + 3], data[at + 5], _plain(data[at + 6 : at + 10])
-    stop, place = at + 10 + size, at + 10
-    while place + 10 <= min(stop, len(data)) and data[place]:
-        name = data[place : place + 4].decode("latin-1")
-        length = _plain(data[place + 4 : place + 8]) if major >= 4 else int.from_bytes(data[place + 4 : place + 8], "big")
-        body = data[place + 10 : place + 10 + length]
-        if name[:1] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    place, wide = 0, 3 if major == 2 else 4
+    if flags & 0x40 and major > 2:  # an extended header; its length counts itself in v2.4
+        place = _plain(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    start = 6 if major == 2 else 10
+    while place + start <= len(body) and body[place]:
+        name = body[place : place + wide].decode("latin-1")
+        length = _plain(body[place + 4 : place + 8]) if major >= 4 else int.from_bytes(body[place + wide : place + 2 * wide], "big")
+        inner = body[place + start : place + start + length]
+        if major >= 4 and (flags & 0x80 or body[place + 9] & 2):
+            inner = inner.replace(b"\xff\0", b"\xff")
+        if name[:1] == "T" and inner:
+            text = inner[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(inner[0], "utf-8"), "replace")
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             tags[key] = value.rstrip("\0")
-        place += 10 + length
-    return stop + (10 if flags & 0x10 else 0)
+        place += start + length
+    return at + 10 + size + (10 if flags & 0x10 else 0)
 
 
 def _vbr_table(frame: bytes, head: Header) -> dict[str, object]:
@@ -161,7 +221,12 @@ def _vbr_table(frame: bytes, head: Header) -> dict[str, object]:
                     rest += length
             return found
     if frame[36:40] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        entries, scale, wide = (int.from_bytes(frame[k : k + 2], "big") for k in (54, 56, 58))
+        sizes = [scale * int.from_bytes(frame[62 + k * wide : 62 + k * wide + wide], "big") for k in range(entries)]
+        return {
+            "kind": "VBRI", "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"),
+            "frames_per_entry": int.from_bytes(frame[60:62], "big"), "toc": np.cumsum(sizes).tolist(),
+        }
     return {}
 
 
@@ -182,9 +247,8 @@ def parse(data: bytes) -> Stream:
             place = 4
             if head.protected:
                 place = 6
-                if head.layer == 3:
-                    stream.checked += 1
-                    stream.wrong += crc16(frame[2:4] + frame[6 : 6 + head.side]) != int.from_bytes(frame[4:6], "big")
+                stream.checked += 1
+                stream.wrong += checksum(frame, head) != int.from_bytes(frame[4:6], "big")
             table = _vbr_table(frame, head) if first else {}
             if first:
                 stream.rate, stream.version, stream.layer, first = head.rate, head.version, head.layer, False
