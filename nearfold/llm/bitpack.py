@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,14 +103,16 @@ class Writer:
         self.out.write(data)
 
     def finish(self) -> int:
-        """Write what is left and the footer; the number of ids."""
+        """Write what is left and the footer; the number of ids. ``digest`` tells the files of different documents apart."""
         if self.held:
             self._flush(self.held)
         parts = [
             np.array([d or 0 for d in self.doc_ids], "<i8"), np.array([d is None for d in self.doc_ids], "u1"),
             np.array(self.first, "<u8"), np.array(self.offsets, "<u8"), np.array(self.sums, "<u4"),
         ]
-        self.out.write(b"".join(p.tobytes() for p in parts) + TRAILER.pack(len(self.doc_ids), len(self.sums), self.offsets[-1], MAGIC))
+        footer = b"".join(p.tobytes() for p in parts) + TRAILER.pack(len(self.doc_ids), len(self.sums), self.offsets[-1], MAGIC)
+        self.out.write(footer)
+        self.digest = xxhash.xxh3_128_hexdigest(footer)  # it holds the checksums of all blocks
         return self.first[-1]
 
 
@@ -163,35 +166,42 @@ class Reader:
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Encode whole texts (null: empty), add ``end_id`` to each, write them in ascending doc_id order; return the manifest.
 
-    One file for each range partition, at ``folder``/part-NNNNN.tok on a store that all executors share. A file is written
-    under another name and then renamed, and its bytes depend on its rows only, so tasks can run again. Rows with a null
-    doc_id come first; equal doc_ids are ordered by text. An empty table gives an empty manifest. Other columns are ignored.
+    One file for each range partition, in ``folder`` on a store that all executors share. A file is written under a name of its own and then renamed to one that its content
+    gives, and one that is there already is left alone, so tasks can run again while others read. Rows with a null
+    doc_id come first; equal doc_ids, which many tasks may share, are ordered by a hash of the text, then by text. An empty table gives an empty manifest. Other columns are ignored.
     Manifest: file int, path string, n_docs long, n_ids long.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, writer = encoder(tokenizer), TaskContext.get().partitionId(), None
         store, root = store_of(folder)
-        path = f"{root}/part-{part:05d}.tok"
         end = np.array([end_id], np.uint32)
-        for batch in bounded_batches(batches, "text"):
+        temporary = f"{root}/{uuid.uuid4().hex}.writing"
+        try:
+            for batch in bounded_batches(batches, "text"):
+                if writer is None:
+                    store.create_dir(root, recursive=True)
+                    out = store.open_output_stream(temporary)
+                    writer = Writer(out, coder.vocabulary)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+                    writer.add(doc_id, np.concatenate([np.frombuffer(ids, np.uint32), end]))
             if writer is None:
-                store.create_dir(root, recursive=True)
-                out = store.open_output_stream(temporary := f"{path}.{uuid.uuid4().hex}.writing")
-                writer = Writer(out, coder.vocabulary)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
-                writer.add(doc_id, np.concatenate([np.frombuffer(ids, np.uint32), end]))
-        if writer is not None:
+                return
             total = writer.finish()
             out.close()
-            if store.get_file_info(path).type != pafs.FileType.NotFound:  # of an earlier attempt, with the same bytes
-                store.delete_file(path)
-            store.move(temporary, path)
-            columns = [[part], [f"{folder}/part-{part:05d}.tok"], [len(writer.doc_ids)], [total]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_ids"])
+            name = f"part-{part:05d}-{writer.digest}.tok"
+            if store.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+                store.move(temporary, f"{root}/{name}")
+        finally:
+            if writer is not None and store.get_file_info(temporary).type != pafs.FileType.NotFound:
+                out.close()
+                store.delete_file(temporary)
+        columns = [[part], [f"{folder}/{name}"], [len(writer.doc_ids)], [total]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["file", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th", "text").drop("th")
     return keep(ordered.mapInArrow(each, "file int, path string, n_docs long, n_ids long"))
 
 

@@ -1,4 +1,5 @@
 import io
+import os
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -97,11 +99,18 @@ def crc(values):
 
 
 def test_documents_through_files(spark):
-    rows = [(k, t) for k, t in enumerate(ODD)] + [(3, "again"), (None, "no id"), (90, None)]
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(3, "again"), (None, "no id"), (90, None), *[(None, f"many {k}") for k in range(40)], (None, "many 7")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, ids int")
-    manifest = bitpack.write_ids(docs, new_folder(spark, "test"), PATH)
+    folder = new_folder(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = bitpack.write_ids(docs, folder, PATH)
+    files = sorted(os.listdir(folder.removeprefix("file://")))
+    assert len(files) == manifest.count() > 1 and all(f.endswith(".tok") for f in files)
+    again = bitpack.write_ids(docs, folder, PATH)  # as a second attempt: the same files, none touched
+    assert sorted(os.listdir(folder.removeprefix("file://"))) == files and sorted(again.collect()) == sorted(manifest.collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     found = bitpack.read_ids(manifest).orderBy("start").collect()
-    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], int(np.uint64(xxhash.xxh64_intdigest(r[1] or "", 42)).view(np.int64)), r[1] or ""))
     start = 0
     for row, (doc_id, text), values in zip(found, ordered, plain([t or "" for _, t in ordered]), strict=True):
         assert (row["doc_id"], row["start"], row["n_tokens"]) == (doc_id, start, len(values) + 1)
