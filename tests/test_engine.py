@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfold.functions import geometry
-from nearfold.operators import evaluate, grid, prune, quadtree, queryset, seeds, summary
+from nearfold.operators import evaluate, grid, prune, quadtree, queryset, seeds, summary, tables
 from nearfold.plans import engine
 from nearfold.plans import queries as plans
 from nearfold.sources import points as sources
@@ -392,3 +392,23 @@ def test_run_metrics(spark):
     assert row["dpc_count"] + row["sumdx"] == row["survivors_points"] and row["sumdx"] == row["sumdx_success"] + row["sumdist"] + row["skipped_tpoints"]
     assert all(row[f"{step}_millis"] >= 0 for step in ("summary", "partition", "seeds", "first", "pruning", "second"))
     assert config.run() is config.run()
+
+
+def test_nothing_comes_to_the_driver_where_nothing_is_small(spark, monkeypatch):
+    """With all bounds at 0 every table stays in the cluster, and the rows are the same."""
+    rng = random.Random(15)
+    rows = [(i, rng.random() ** 2, rng.random()) for i in range(300)]
+    query = [(0.2, 0.5), (0.25, 0.45), (0.3, 0.6)]
+    p, q = points(spark, rows), queries(spark, query)
+    wanted = tree_by_recursion(rows, 20, 5), tree_by_recursion(rows, 20, 5, "all_children")
+    wide = {r["cell"]: r["n"] for r in quadtree.leaf_table(p, quadtree.internal_nodes(p, 20, "average_width", 5), 5).collect()}
+    for module, name in ((tables, "BROADCAST_ROWS"), (tables, "LISTED"), (engine, "LISTED")):
+        monkeypatch.setattr(module, name, 0)
+    for kind, expected in zip(quadtree.KINDS, (*wanted, wide), strict=True):
+        inner = quadtree.internal_nodes(p, 20, kind, 5)
+        assert not tables.held(inner)
+        assert {r["cell"]: r["n"] for r in quadtree.leaf_table(p, inner, 5).collect()} == expected
+    inner = quadtree.internal_nodes(p, 20, "capacity", 5)
+    assert {r["cell"] for r in quadtree.assign(p, inner, 5).collect()} == {c for c, n in wanted[0].items() if n}
+    for partitioning, method, seed in (("gd", "bf", "mbr"), ("qt", "ps", "centroid")):
+        same(engine.Query(p, q, 4, partitioning, method, seed, n=6, capacity=20, max_depth=5).answer(), nearest(rows, query, 4))
