@@ -202,3 +202,32 @@ def test_short_and_repetitive_near_duplicates_go(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     root = components(range(len(texts)), lambda a, b: plain_similarity(texts[a], texts[b]) >= 0.8)
     assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == set(root.values())
+
+
+def test_different_texts_with_one_doc_id_are_documents_of_their_own(spark):
+    rng = random.Random(12)
+    a, b = random_words(rng, 60), random_words(rng, 60)
+    rows = [(1, " ".join(a)), (7, " ".join([*a, "more"])), (7, " ".join(b)), (9, " ".join(b).upper()), (9, " ".join(b).upper()), (None, " ".join(a))]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([("1", rows[0][1]), ("7", rows[2][1]), ("None", rows[0][1])])
+    # Rows that repeat a document stay or go together; of texts that tie for the least doc_id one stays.
+    rows = [(3, "one two three"), (3, "one two three"), (3, "ONE two three"), (5, "one two three")]
+    kept = [r["text"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert kept in (["one two three"] * 2, ["ONE two three"])
+
+
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    """Pairs of all lengths at a similarity of 0.8 to 0.82, half of them with a sentence that repeats: all are found."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(120):
+        n = rng.randint(9, 400)
+        shingles = n - 4
+        words = random_words(rng, n)
+        other = words[: n - shingles // 5] if k % 2 else words
+        sentence = random_words(rng, 8) if not k % 2 else []
+        texts += [" ".join(words + sentence * 30), " ".join(other + sentence * 2)]
+    similar = [plain_similarity(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2)]
+    assert sum(similar) > 100
+    kept = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {k for k in range(len(texts)) if k % 2 == 0 or not similar[k // 2]}
