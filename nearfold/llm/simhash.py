@@ -35,6 +35,8 @@ SHORT, SHORT_MORE, HALF_MORE = 64, 12, 8
 #: Candidates of a document that the first comparison lists at most; all others are listed by a second one.
 FEW = 8
 FIELDS, CONTENT, LINK = tuple(f"f{k}" for k in range(WIDE)), ("c0", "c1"), ("cid", "other", "bits", "n")
+#: Rows from which bits are counted by byte value.
+MANY = 1000
 #: The bits that are set in each byte value, as a 256 x 8 table.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -51,9 +53,25 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     ends = (starts + lengths)[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends)], dtype="<u8")
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majority(hashes.reshape(-1, 1))[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows, for rows of unsigned 64-bit words."""
+    octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
+    if len(hashes) < MANY:
+        counts = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    else:
+        counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BYTE_BITS for k in range(octets.shape[1])])
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def mixed(words: np.ndarray) -> np.ndarray:
+    """Other pseudo-random words for pseudo-random words: the finaliser of the splitmix64 generator."""
+    words = words + np.uint64(0x9E3779B97F4A7C15)
+    words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    words = (words ^ (words >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return words ^ (words >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -162,20 +180,15 @@ def shingles(text: str | None, width: int = 5) -> list[bytes]:
 
 
 def wide_fingerprint(text: str | None, width: int = 5) -> tuple[np.ndarray, int]:
-    """256 majority bits over the XXH3-128 values of the distinct shingles with two seeds, as four unsigned words (all 0 without words), and how many shingles.
+    """256 majority bits over the XXH3-128 values of the distinct shingles and a mix of them, as four unsigned words (all 0 without words), and how many shingles.
 
     A shingle counts once however often it stands in the text, as in ``similarity``.
     """
     found = shingles(text, width)
     if not found:
         return np.zeros(WIDE, dtype=np.uint64), 0
-    digest = xxhash.xxh3_128_digest
-    parts = []
-    for seed in range(WIDE // 2):
-        octets = np.frombuffer(b"".join([digest(x, seed) for x in found]), np.uint8).reshape(-1, 16)
-        counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BYTE_BITS for k in range(16)])
-        parts.append(np.packbits(2 * counts > len(found), bitorder="little").view("<u8"))
-    return np.concatenate(parts), len(found)
+    words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), "<u8").reshape(-1, WIDE // 2)
+    return majority(np.hstack([words, mixed(words)])), len(found)
 
 
 def similarity(a: str | set[bytes], b: str | set[bytes], width: int = 5) -> float:
