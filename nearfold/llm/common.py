@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfold.sources.store import shared_dir
@@ -45,6 +46,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of rounds that are done: it does so when the driver collects the garbage that names them, which may else be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def group_key(column: Column) -> Column:
     """A string that is never null and keeps null apart from every real value."""
     text = column.cast("string")
@@ -156,6 +163,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
+        free_shuffles(edges.sparkSession)
         loose = links.groupBy("u").count().where("count > 1").limit(1).count()
         if not loose and not links.join(links.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
