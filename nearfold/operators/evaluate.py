@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.operators.queryset import QuerySet, load, sums, sums_dx
+from nearfold.operators.queryset import Chunk, QuerySet, able, exact, load, sums, sums_dx
 
 #: Relative slack for the rounding of closed forms and of sums in another order.
 SLACK = 1e-9
@@ -57,6 +57,23 @@ class Best:
         return self.dist[-1] if len(self.ids) == self.k else math.inf
 
 
+def _likely_first(best: Best, ids: np.ndarray, x: np.ndarray, y: np.ndarray, chunks: list[Chunk], dm: float) -> int:
+    """Add what is near enough to ``best``, in order of lower bounds and as long as these are within the bound that falls meanwhile. How many points were summed."""
+    summed, first = 0, True
+    while len(ids):
+        bound = min(dm, best.bound) * (1 + SLACK)
+        places, _ = able(x, y, chunks, bound)
+        # Without a bound, or with the first one, a few likely points are summed to get a better one; then all that it leaves.
+        if first and len(places) > best.k:
+            places, left = places[: best.k], places[best.k :]
+        else:
+            left = places[:0]
+        best.add(ids[places], exact(x[places], y[places], chunks))
+        summed += len(places)
+        ids, x, y, first = ids[left], x[left], y[left], math.isinf(best.bound)
+    return summed
+
+
 def nearest(points: DataFrame, query: DataFrame | QuerySet, k: int, dm: float = math.inf, by_sweep: bool = False, fast: bool = True) -> DataFrame:
     """Rows (id, dist, ...) that hold the k nearest points, k of each partition at most, and one with a null id for each partition that counts points:
     read, ruled out by the sweep bound, and summed to the end. Points farther than ``dm`` may be left out.
@@ -72,9 +89,12 @@ def nearest(points: DataFrame, query: DataFrame | QuerySet, k: int, dm: float =
             bound = min(dm, best.bound) * (1 + SLACK)
             read += len(ids)
             if by_sweep:
-                able = sums_dx(x, held) * (1 - SLACK) <= bound
-                swept += len(ids) - int(able.sum())
-                ids, x, y = ids[able], x[able], y[able]
+                passed = sums_dx(x, held) * (1 - SLACK) <= bound
+                swept += len(ids) - int(passed.sum())
+                ids, x, y = ids[passed], x[passed], y[passed]
+            if fast and any(c.coarse for c in held):
+                summed += _likely_first(best, ids, x, y, held, dm)
+                continue
             places, dist = sums(x, y, held, bound if fast else math.inf)
             summed += len(places)
             best.add(ids[places], dist)

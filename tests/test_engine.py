@@ -412,3 +412,27 @@ def test_nothing_comes_to_the_driver_where_nothing_is_small(spark, monkeypatch):
     assert {r["cell"] for r in quadtree.assign(p, inner, 5).collect()} == {c for c, n in wanted[0].items() if n}
     for partitioning, method, seed in (("gd", "bf", "mbr"), ("qt", "ps", "centroid")):
         same(engine.Query(p, q, 4, partitioning, method, seed, n=6, capacity=20, max_depth=5).answer(), nearest(rows, query, 4))
+
+
+def test_large_query_sets_sum_few_points(spark):
+    """Points near their centre of gravity are summed, others ruled out by condensed chunks; copies of a place tie and go by id."""
+    rng = np.random.default_rng(5)
+    qx, qy = rng.uniform(0.4, 0.6, 6000), rng.uniform(0.3, 0.6, 6000)
+    x, y = np.repeat(rng.uniform(0, 1, 2000), 3), np.repeat(rng.uniform(0, 1, 2000), 3)
+    ids = rng.permutation(6000)
+    dist = np.array([np.sqrt((a - qx) ** 2 + (b - qy) ** 2).sum() for a, b in zip(x, y, strict=True)])
+    chunk = queryset.Chunk(qx, qy, np.ones(6000))
+    for side in range(len(queryset.SIDES)):
+        low = queryset._each(x, y, *chunk.coarse[side])
+        assert (low <= dist * (1 + 1e-12)).all() and (side == 0 or (low >= before * (1 - 1e-12)).all())
+        before = low
+    bound = np.sort(dist)[20]
+    places, _ = queryset.able(x, y, [chunk], bound)
+    assert set(np.flatnonzero(dist <= bound)) <= set(places.tolist()) and len(places) < 60
+    points = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), y.tolist(), strict=True)), "id long, x double, y double")
+    query = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(qx.tolist(), qy.tolist(), strict=True))], "qid long, qx double, qy double")
+    expected = sorted(zip((d.round(6) for d in dist), ids.tolist(), strict=True))[:10]
+    for found in (engine.brute_force(points, query, 10), *(engine.Query(points, query, 10, p, m, n=10, capacity=300).answer() for p, m in (("gd", "bf"), ("qt", "ps")))):
+        assert [(round(r["dist"], 6), r["id"]) for r in found.collect()] == [(round(d, 6), i) for d, i in expected]
+    summed = engine.evaluate.nearest(points, query, 10).where("id is null").selectExpr("sum(summed)").first()[0]
+    assert summed < 600
