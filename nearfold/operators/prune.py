@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.geometry import distance, mindist_point_rect, mindist_rect_rect
-from nearfold.operators.queryset import TILE, QuerySet, load
+from nearfold.operators.queryset import ROUNDING, TILE, QuerySet, load
 from nearfold.operators.summary import Summary
 
 
@@ -45,7 +45,10 @@ def in_reach(summary: Summary, dm: float) -> Column:
 
 
 def sum_mindist(cells: DataFrame, query: DataFrame | QuerySet) -> DataFrame:
-    """cells with bound: the sum over the query set of mindist(cell, q), summed where the cell is read."""
+    """cells with bound: the sum over the query set of mindist(cell, q), summed where the cell is read.
+
+    A condensed chunk is summed by the cells of its finest grid; as the distance to a rectangle is convex, that is a lower bound of its sum, and close to it.
+    """
     chunks = load(query).reader()
     places = [cells.columns.index(c) for c in ("x0", "y0", "ds")]
     names = [*cells.columns, "bound"]
@@ -57,8 +60,10 @@ def sum_mindist(cells: DataFrame, query: DataFrame | QuerySet) -> DataFrame:
             x0, y0, ds = (np.asarray(batch.column(k), dtype=np.float64) for k in places)
             bound = np.zeros(batch.num_rows)
             for chunk in held:
-                for low in range(0, len(chunk.x), TILE):
-                    qx, qy, w = chunk.x[low : low + TILE], chunk.y[low : low + TILE], chunk.w[low : low + TILE]
+                ax, ay, aw = chunk.coarse[-1] if chunk.coarse else (chunk.x, chunk.y, chunk.w)
+                aw = aw * (1 - ROUNDING) if chunk.coarse else aw
+                for low in range(0, len(ax), TILE):
+                    qx, qy, w = ax[low : low + TILE], ay[low : low + TILE], aw[low : low + TILE]
                     rows = max(1, TILE // len(qx))
                     for s in range(0, len(x0), rows):
                         a, b, d = x0[s : s + rows, None], y0[s : s + rows, None], ds[s : s + rows, None]
