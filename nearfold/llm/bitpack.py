@@ -183,7 +183,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) ->
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(temporary)
                     writer = Writer(out, coder.vocabulary)
-                for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                     writer.add(doc_id, np.concatenate([np.frombuffer(ids, np.uint32), end]))
             if writer is None:
                 return

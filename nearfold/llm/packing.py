@@ -98,7 +98,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             held = 0
 
         for batch in bounded_batches(batches, "text", most_bytes, 1024):
-            for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+            for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 doc_ids.append(doc_id)
                 ids.append(found + end)
                 held += len(found) // 4 + 1

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pytest
 import xxhash
@@ -49,6 +50,32 @@ def test_encoder_on_any_text(texts):
     assert ids(texts, encoding.encoder(PATH)) == plain(texts)
 
 
+def test_words_are_encoded_apart_from_signs_and_line_ends(monkeypatch):
+    """Combinations of a few words cost no call of the library for each (the cost of op3_bitpack and op7_packing)."""
+    coder, whole = encoding.Encoder(PATH), []
+    monkeypatch.setattr(coder, "_whole", lambda texts, own=coder._whole: (whole.extend(texts), own(texts))[1])
+    words = ["the", "Stra\u00dfe", "caf\u00e9", "s", "ll", "Nightingale", "\u00d1and\u00fa", "I"]
+    signs = ["", ".", "***", ".&&&", "'", "'\"", "%%%", "-"]
+    texts = [f"x {a}{s}\n{b}{t} {a}{s}{t}" for a in words for b in words for s in signs for t in signs]
+    for _ in range(2):
+        assert ids(texts, coder) == plain(texts)
+    assert len([t for t in whole if t != "x"]) < 400  # signs alone; the texts hold 4096 such pairs of words
+
+
+def test_white_space_beside_a_space():
+    white = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    black = ["a", ".", "\u00ad", "\u200b", "\ufeff", "\u0301", "\0", "\x1b", "\u2027"]
+    for texts, beside in (([f"a {c}b" for c in white], True), ([f"a{c} b" for c in white], True), ([f"a {c} b" for c in black], False), ([f"a{c}b" for c in white], False)):
+        assert set(pc.match_substring_regex(pa.array(texts), encoding.BESIDE).to_pylist()) == {beside}
+
+
+def test_encoder_takes_arrow_columns():
+    coder = encoding.Encoder(PATH, 20)
+    column = pa.array(["cut off", *ODD, "cut off"]).slice(1, len(ODD))
+    assert ids(column, coder) == ids(column.cast(pa.large_string()), coder) == plain(ODD)
+    assert coder.encode(column.slice(0, 0)) == []
+
+
 def test_other_tokenizers_encode_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = encoding.Encoder(path)
